@@ -66,3 +66,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, on: list[str], broadcast_rows: int = 50_000) -> DataFrame:
+    """``docs`` without the rows named in ``dropped``. The names are broadcast only where
+    there are few of them; beyond that both sides are shuffled."""
+    if dropped.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, on, "left_anti")

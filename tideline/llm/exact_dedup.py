@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import id_and_text, materialize
+from tideline.llm.common import drop_rows, id_and_text, materialize
 
 PREFIX_CHARS = 128
 N_BUCKETS = 1 << 17
@@ -64,3 +64,11 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(shared)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`text_groups` does not keep."""
+    copies = text_groups(docs, id_col, text_col, hash_all=False).filter("not kept and doc_id is not null")
+    copies = materialize(copies.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    return drop_rows(keyed, copies, ["_id", "_sha"]).drop("_id", "_sha")

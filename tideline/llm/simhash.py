@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bucket_join import bucket_join
-from tideline.llm.common import id_and_text, materialize
+from tideline.llm.common import drop_rows, id_and_text, materialize
 from tideline.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -175,3 +175,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(near_duplicates(fps, radius), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each component."""
+    groups = simhash_components(docs, id_col, text_col, radius).filter("doc_id != component_id")
+    dropped = materialize(groups.select(F.col("doc_id").alias("_id")).distinct())
+    return drop_rows(docs.withColumn("_id", F.col(id_col).cast("long")), dropped, ["_id"]).drop("_id")
