@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tideline.llm import bpe, embedding, language, packing, pii, preference
+from tideline.llm import bpe, embedding, html_text, language, packing, pii, preference, substrings
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import text_groups
 from tideline.llm.simhash import simhash_components
@@ -37,6 +37,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return preference.preference_pairs(turns, preference.neighbours(turns))
@@ -50,15 +54,21 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding": op1_embedding,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
+    "op6_substrings": op6_substrings,
     "op7_preference": op7_preference,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
