@@ -2,5 +2,34 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tideline.plans.views import with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+from tideline.plans import (  # noqa: E402, F401  (they register themselves)
+    index_queries,
+    log_queries,
+    machine_queries,
+    metric_queries,
+    quorum_queries,
+    segment_queries,
+)
