@@ -26,7 +26,7 @@ PATTERNS = {
 }
 # Cheap signs that a text can hold a match at all.
 SIGNS = {"email": "@", "ip": ".", "phone": "+"}
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
 WIDTH = 48  # code points on either side from which context words are taken
