@@ -106,9 +106,9 @@ ORACLE_SQL: dict[str, str] = {
             FROM t JOIN parted USING (pair_id)),
         s AS (
             SELECT *, (coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, part ORDER BY pos
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 13)::BIGINT AS at
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 13)::BIGINT AS start
             FROM p WHERE part IS NOT NULL),
-        m AS (SELECT *, CASE WHEN role = 'assistant' THEN at || ':' || (at + length(text)) END AS span FROM s),
+        m AS (SELECT *, CASE WHEN role = 'assistant' THEN start || ':' || (start + length(text)) END AS span FROM s),
         ids AS (
             SELECT pair_id, min(CASE WHEN side = 0 THEN conv_id END) AS chosen_id,
                    min(CASE WHEN side = 1 THEN conv_id END) AS rejected_id FROM t GROUP BY pair_id)
