@@ -267,7 +267,7 @@ def _kept(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def _applied(docs: DataFrame, id_col: str, text_col: str, width: int, fields: str, row) -> DataFrame:
+def _applied(docs: DataFrame, id_col: str, text_col: str, width: int, fields: str, kinds: list[pa.DataType], row) -> DataFrame:
     rows = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
     spans = materialize(repeated_spans(rows, width))
     _release(docs.sparkSession)
@@ -277,7 +277,8 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, width: int, fields: st
         for batch in batches:
             texts, marks = _binary(batch.column(1)), batch.column(2)
             found = [row(texts[i].as_py(), _merged(marks[i].as_py())) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in zip(*found))] if found else [pa.array([]) for _ in names], names=names)
+            cols = zip(*found) if found else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], names=names)
 
     return rows.join(spans, ["_k1", "_k2"], "left").select("doc_id", "_text", "spans").mapInArrow(run, fields)
 
@@ -291,7 +292,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A cut may fall inside a character, so what stays is bytes.
     """
     fields = "doc_id long, kept binary, removed array<struct<s:int,e:int>>"
-    return _applied(docs, id_col, text_col, width, fields, lambda data, cut: (_kept(data, cut), [{"s": s, "e": e} for s, e in cut]))
+    kinds = [pa.binary(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
+    return _applied(docs, id_col, text_col, width, fields, kinds, lambda data, cut: (_kept(data, cut), [{"s": s, "e": e} for s, e in cut]))
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -301,4 +303,4 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def row(data: bytes, cut: list[tuple[int, int]]) -> tuple:
         return len(data), sum(e - s for s, e in cut), len(cut), sha256(_kept(data, cut)).hexdigest()
 
-    return _applied(docs, id_col, text_col, width, fields, row)
+    return _applied(docs, id_col, text_col, width, fields, [pa.int64()] * 3 + [pa.string()], row)
