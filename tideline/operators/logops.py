@@ -200,3 +200,63 @@ def low_priority_batches(commands: DataFrame, size: int = 16) -> DataFrame:
     order = Window.partitionBy("uid", "priority").orderBy("idx")
     n = F.row_number().over(order) - 1
     return commands.withColumn("batch", F.when(F.col("priority") == "low", F.floor(n / size)).otherwise(n))
+
+
+def recover(wal: DataFrame, registry: DataFrame, floors: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """What a recovery scan restores: rows of registered writers, at or above the smallest
+    index still live (``floors``: ``uid, smallest``), with a good checksum, after overwrites."""
+    rows = wal.join(registry.select("uid"), "uid", "left_semi").filter(checksum_ok(F.col("payload"), F.col("crc")))
+    rows = rows.join(floors.select("uid", "smallest"), "uid", "left")
+    rows = rows.filter(F.col("smallest").isNull() | (F.col("idx") >= F.col("smallest"))).drop("smallest")
+    return visible(rows, block)
+
+
+def insert_status(rows: DataFrame) -> DataFrame:
+    """Adds ``status`` of sparse inserts that name their predecessor (``prev_idx``): ok where it
+    is the writer's row before, overwriting at or below it, else gap_detected."""
+    before = F.lag("idx").over(Window.partitionBy("uid").orderBy("arrival"))
+    status = (
+        F.when(before.isNull() | (F.col("prev_idx") == before), "ok")
+        .when(F.col("idx") <= before, "overwriting")
+        .otherwise("gap_detected")
+    )
+    return rows.withColumn("status", status)
+
+
+def evict(log: DataFrame, flushed: DataFrame) -> DataFrame:
+    """``uid, deleted, kept, first`` after rows up to ``flushed_to`` have left the hot table;
+    ``by_range`` where over half of it goes, which a range delete does better than keys."""
+    gone = F.coalesce(F.col("idx") <= F.col("flushed_to"), F.lit(False))
+    return log.join(flushed, "uid", "left").groupBy("uid").agg(
+        F.count_if(gone).alias("deleted"),
+        F.count_if(~gone).alias("kept"),
+        F.min(F.when(~gone, F.col("idx"))).alias("first"),
+        (F.count_if(gone) * 2 > F.count("*")).alias("by_range"),
+    )
+
+
+def generations(writes: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """Adds ``generation``: how many times a writer's index has gone back before a row, which
+    is the number of the hot table that took it."""
+    back = F.lag("idx").over(Window.partitionBy("uid", "_w").orderBy("write_seq"))
+    rows = writes.withColumn("_w", F.floor(F.col("write_seq") / block))
+    last = rows.groupBy("uid", "_w").agg(F.max_by("idx", "write_seq").alias("_last"))
+    ahead = Window.partitionBy("uid").orderBy("_w")
+    last = last.withColumn("_before", F.lag("_last").over(ahead)).drop("_last")
+    rows = rows.join(last, ["uid", "_w"]).withColumn("_back", (F.coalesce(back, F.col("_before")) >= F.col("idx")).cast("int"))
+    rows = rows.withColumn("_back", F.coalesce("_back", F.lit(0))).drop("_w", "_before")
+    return scan.running_sum(rows, "_back", "generation", ["uid"], "write_seq", block).drop("_back")
+
+
+def fill_ratio(size: Column, most: Column) -> Column:
+    """Share of a file in use, one half where its size is unknown."""
+    return F.coalesce(F.least(F.lit(1.0), size / most), F.lit(0.5))
+
+
+def parked_until(queries: DataFrame, permits: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """``uid, idx, runs_at``: consistent queries wait for the first permit at or after them
+    (null where none comes): a forward as-of lookup by one scan from the end."""
+    q = queries.select("uid", (-F.col("idx")).alias("_at"), F.lit(None).cast("long").alias("_p"), F.lit(1).alias("_kind"))
+    p = permits.select("uid", (-F.col("idx")).alias("_at"), F.col("idx").alias("_p"), F.lit(0).alias("_kind"))
+    out = scan.last_value(p.unionByName(q), F.col("_p"), "runs_at", ["uid"], [F.col("_at"), F.col("_kind")], F.floor(F.col("_at") / block))
+    return out.filter("_kind = 1").select("uid", (-F.col("_at")).alias("idx"), "runs_at")

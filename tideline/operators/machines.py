@@ -115,3 +115,32 @@ def replica_diff(states: DataFrame, reference: DataFrame) -> DataFrame:
     members = states.select("member").distinct()
     want = reference.select("key", F.col("idx").alias("expected")).crossJoin(F.broadcast(members))
     return states.join(want, ["member", "key"], "full").filter(~F.col("idx").eqNullSafe(F.col("expected"))).select("member", "key", "idx", "expected")
+
+
+def difference_patterns(states: DataFrame, reference: DataFrame) -> DataFrame:
+    """``member, pattern, n``: how members differ from the reference, by kind."""
+    diff = replica_diff(states, reference)
+    kind = F.when(F.col("idx").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("stale")
+    return diff.groupBy("member", kind.alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def workload(spark, n: int, keys: int = 10_000) -> DataFrame:
+    """A reproducible operation mix: 68 % put, 20 % get, 4 % snapshot, 2 % major compaction and
+    1 % of each of six others, spread by a multiplicative sequence."""
+    rows = spark.range(n).withColumn("r", F.col("id") * 7919 % 100)
+    op = F.when(F.col("r") < 68, "put").when(F.col("r") < 88, "get").when(F.col("r") < 92, "snapshot").when(F.col("r") < 94, "major_compaction")
+    others = ["update_almost_all", "put_many", "add_member", "remove_member", "kill_wal", "kill_member"]
+    for k, name in enumerate(others):
+        op = op.when(F.col("r") == 94 + k, name)
+    return rows.select("id", op.alias("op"), F.concat(F.lit("key_"), F.col("id") * 104_729 % keys + 1).alias("key"))
+
+
+def shadow_points(commands: DataFrame, every: int = 4096) -> DataFrame:
+    """Commands after which a count-only copy of the state is kept, with the count so far."""
+    one = scan.running_sum(commands.withColumn("_one", F.lit(1)), "_one", "enqueued", ["uid"], "idx")
+    return one.filter(F.col("enqueued") % every == 0).drop("_one")
+
+
+def reply_mode_ok(mode: Column) -> Column:
+    """Reply modes that a command envelope may carry."""
+    return mode.isin("after_log_append", "await_consensus", "noreply") | mode.rlike("^notify:[0-9]+$")

@@ -84,3 +84,11 @@ def monitors(events: DataFrame) -> DataFrame:
 def throughput(events: DataFrame, by: str) -> DataFrame:
     span = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
     return events.groupBy(by).agg(F.count("*").alias("ops"), F.when(span > 0, F.count("*") / span).alias("ops_per_second"))
+
+
+def key_metrics(members: DataFrame, samples: DataFrame, fields: list[str]) -> DataFrame:
+    """Latest value of each key field per member; members without samples are ``noproc``."""
+    last = latest_gauges(samples)
+    wide = last.groupBy("name").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields))
+    state = F.when(F.coalesce(*(F.col(f) for f in fields)).isNull(), "noproc").otherwise("running")
+    return members.join(wide, "name", "left").select("name", state.alias("state"), *fields)

@@ -26,6 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from tideline.plans import (  # noqa: E402, F401  (they register themselves)
+    extra_queries,
     index_queries,
     log_queries,
     machine_queries,
