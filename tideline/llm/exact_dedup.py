@@ -57,8 +57,9 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     left = rows.filter("_hit")
-    groups = left.groupBy("text_sha256", "_n").agg(
-        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+    # Written first, so that Spark can split a hot group's rows in the join below.
+    groups = materialize(
+        left.groupBy("text_sha256", "_n").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
     shared = left.join(groups, ["text_sha256", "_n"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
