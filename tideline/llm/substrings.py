@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialize, partitions
+from tideline.llm.common import discard, materialize, partitions
 
 WIDTH, GRAM = 200, 32
 GROUP = 4096  # distinct contexts of one hash that an index may hold
@@ -227,14 +227,16 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     texts = keyed.filter(F.octet_length("_text") >= width).select("_k1", "_k2", "_text")
     every = materialize(texts.mapInArrow(lambda it: _emit_anchors(it, width), "h long, c long, _k1 long, _k2 long, a int, b int"))
     groups = every.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1")
-    again = materialize(every.join(groups.select("h", "mixed"), "h"))
+    # Counts are written before they are joined: only then can Spark split a hot hash's rows.
+    again = materialize(every.join(materialize(groups.select("h", "mixed")), "h"))
+    discard(every)
     _release(spark)
     whole = lambda df: df.select("_k1", "_k2", F.col("a").alias("s"), (F.col("b") + width).alias("e"))
     marks = whole(again.filter("not mixed"))
     mixed = again.filter("mixed").drop("mixed")
     kinds = mixed.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("_k1", "_k2", "a", "b")).alias("r"))
     kinds = materialize(kinds)
-    sizes = kinds.groupBy("h").agg(F.count("*").alias("n"))
+    sizes = materialize(kinds.groupBy("h").agg(F.count("*").alias("n")))
     marks = marks.unionByName(whole(mixed.join(kinds.filter("m > 1").select("h", "c"), ["h", "c"])))
     one = kinds.join(sizes, "h").select("r._k1", "r._k2", F.struct("h", "c", "m", "n", "r.a", "r.b").alias("x"))
     one = one.groupBy("_k1", "_k2").agg(F.collect_list("x").alias("wanted"))  # at most one per byte of the text
