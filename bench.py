@@ -70,6 +70,7 @@ def main() -> None:
             build().write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         took[name] = round(times[1], 4)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf.rsplit("sf", 1)[-1]}))
 
 

@@ -32,9 +32,10 @@ def running_sum(df: DataFrame, value: str, out: str, by: list[str], order: str,
 def later_min(df: DataFrame, value: str, out: str, by: list[str], order: str, block: int = BLOCK) -> DataFrame:
     """Adds ``out``: the least ``value`` of the rows after each row, null for the last."""
     df = df.withColumn("_b", _block(order, block))
-    behind = Window.partitionBy(*by).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    # From the end backwards: a growing frame costs one step a row, a shrinking one all of it.
+    behind = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     low = df.groupBy(*by, "_b").agg(F.min(value).alias("_m")).withColumn("_later", F.min("_m").over(behind))
-    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy(*by, "_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(low.drop("_m"), [*by, "_b"])
     return joined.withColumn(out, F.least(F.min(value).over(inside), F.col("_later"))).drop("_b", "_later")
 

@@ -29,7 +29,7 @@ def info(records: DataFrame, live: DataFrame) -> DataFrame:
 def overlay(refs: DataFrame) -> DataFrame:
     """Segment references (``uid, seq, segment, lo, hi``, later ``seq`` newer) with the
     range that newer ones leave; ``overwritten`` marks those with nothing left."""
-    newer = Window.partitionBy("uid").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    newer = Window.partitionBy("uid").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.least(F.col("hi"), F.min("lo").over(newer) - 1)
     return refs.withColumn("hi", cut).withColumn("overwritten", F.col("hi") < F.col("lo"))
 
