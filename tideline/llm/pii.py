@@ -141,14 +141,18 @@ def learn_patterns(spans: DataFrame) -> DataFrame:
     a seed scores 1, another string the noisy-or of its patterns with enough support.
     """
     edges = spans.groupBy("pattern", "v").agg(F.max("seed").alias("seed"))
+    # What is counted per pattern or string is written before it is joined, so that Spark can
+    # split the rows of a common pattern over tasks.
     support = edges.groupBy("pattern").agg(F.count_if("seed").alias("n")).filter(F.col("n") >= SUPPORT).select("pattern")
+    support = materialize(support)
     edges = materialize(edges.join(support, "pattern", "left_semi").withColumn("score", F.col("seed").cast("double")))
     for n in range(ROUNDS):
-        conf = edges.groupBy("pattern").agg(F.avg("score").alias("conf"))
+        conf = materialize(edges.groupBy("pattern").agg(F.avg("score").alias("conf")))
         if n == ROUNDS - 1:
             break
         scored = edges.join(conf, "pattern")
         by_string = scored.groupBy("v").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.99)))))).alias("found"))
+        by_string = materialize(by_string)
         after = materialize(
             edges.join(by_string, "v").select("pattern", "v", "seed", F.when(F.col("seed"), 1.0).otherwise(F.when(F.col("found") >= CONFIDENCE, F.col("found")).otherwise(0.0)).alias("score"))
         )
@@ -163,7 +167,7 @@ def added_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     spans = rows.filter((F.size("base") > 0) | (F.size("ids") > 0)).select(key, each.alias("x")).select(key, "x.*")
     spans = materialize(spans)
     edges = spans.select("v", "seed", F.explode("patterns").alias("pattern"))
-    good = learn_patterns(edges)
+    good = materialize(learn_patterns(edges))
     hits = spans.filter("not seed").select(key, "s", "e", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
     hits = hits.select(key, "s", F.lit(len(KINDS)).alias("k"), "e").distinct()
     return materialize(hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("added")))
