@@ -98,6 +98,35 @@ def test_host_boilerplate(spark):
     assert got[9] == got[10] == common  # one page, so nothing repeats between pages
 
 
+def sorted_suffix_repeats(streams, least):
+    """Per page, places in repeats of at least ``least`` tokens with another page, from sorted suffixes."""
+    suffixes = sorted((tokens[i:], page, i) for page, tokens in streams.items() for i in range(len(tokens)))
+    covered = {page: set() for page in streams}
+    for step in (1, -1):
+        for a in range(len(suffixes)):
+            mine, page, i = suffixes[a]
+            depth, b = len(mine), a + step
+            while 0 <= b < len(suffixes) and depth >= least:
+                depth = next((k for k, (x, y) in enumerate(zip(mine, suffixes[b][0])) if x != y), min(len(mine), len(suffixes[b][0])))
+                if depth >= least and suffixes[b][1] != page:
+                    covered[page] |= set(range(i, i + depth))
+                    break
+                b += step
+    return covered
+
+
+def test_repeats_are_those_of_sorted_suffixes(spark):
+    rng = random.Random(4)
+    common = [" ".join(rng.choice("abc") for _ in range(n)) for n in (4, 6, 9, 14)]
+    pages = {i: [rng.choice(common) if rng.random() < 0.5 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(5)] for i in range(20)}
+    shown = lambda i, blocks: ("<article>own text</article>" if i % 2 else "") + "".join(f"<div>{b}</div>" for b in blocks)
+    rows = [(i, f"http://a.example/{i}", shown(i, blocks)) for i, blocks in pages.items()]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = sorted_suffix_repeats({i: [w for b in blocks for w in (*b.split(), "\n")] for i, blocks in pages.items()}, html_text.RUN)
+    assert {i: r.n_repeated for i, r in got.items()} == {i: len(c) for i, c in want.items()}
+    assert any(want[i] for i in pages if i % 2) and all(got[i].text == "own text" for i in pages if i % 2)
+
+
 def test_preference(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", None),
              (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, None, "alone"), (4, 0, None, "alone"), (None, 0, "user", "lost")]
