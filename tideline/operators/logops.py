@@ -37,6 +37,19 @@ def fold_range(log: DataFrame, lo: int, hi: int, value: Column, zero: Column, me
     return rows.agg(F.aggregate(entries, zero, lambda a, x: merge(a, x["v"])).alias("value"))
 
 
+def fold_blocks(log: DataFrame, value: Column, unit: Column, step, start: Column, through, by: str = "uid", block: int = scan.BLOCK) -> DataFrame:
+    """Ordered left fold of a whole log whose steps compose, one result per ``by``.
+
+    Each block of ``block`` indexes is folded from ``unit`` by ``step`` into a map; the state
+    goes from ``start`` through the maps in order. No task holds more entries than a block.
+    """
+    nth = F.floor((F.col("idx") - 1) / block).alias("_block")
+    entries = F.array_sort(F.collect_list(F.struct("idx", value.alias("v"))))
+    maps = log.groupBy(by, nth).agg(F.aggregate(entries, unit, lambda a, x: step(a, x["v"])).alias("_map"))
+    in_order = F.array_sort(F.collect_list(F.struct("_block", "_map")))
+    return maps.groupBy(by).agg(F.aggregate(in_order, start, lambda s, x: through(s, x["_map"])).alias("value"))
+
+
 def contiguous_prefix(log: DataFrame, lo: int, hi: int) -> DataFrame:
     """Rows of a range up to its first hole: the part a scan that returns early has seen."""
     rows = log.filter(F.col("idx").between(lo, hi))

@@ -33,4 +33,5 @@ from tideline.plans import (  # noqa: E402, F401  (they register themselves)
     metric_queries,
     quorum_queries,
     segment_queries,
+    whole_queries,
 )
