@@ -6,6 +6,7 @@ from functools import reduce
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.functions import scalars
 from tideline.operators import logops
 from tideline.plans import registry
 
@@ -48,3 +49,15 @@ def test_bounds_follow_the_log(spark, long_log):
     assert n // 2 < top("seq_floor_limit_whole", "idx") <= n * 19 // 20 and n // 2 < top("seq_in_range_whole", "hi") <= n * 19 // 20
     assert top("cluster_scan_whole", "idx") > n // 2
     assert rows("workload_mix_whole").agg(F.sum("n")).first()[0] == n
+
+
+def test_detect_sort_judges_whole_lists(spark, tmp_path):
+    lists = {4: [1.0, 2.0, 3.0, 4.0, 0.5], 8: [5.0, 4.0, 3.0, 2.0, 1.0], 5: [1.0, 2.0, 2.0, 3.0], 6: [7.0], 7: [3.0, 3.0, 3.0], 9: [2.0, 1.0, 1.0, 0.0]}
+    events = [(key, v) for i in range(5) for key, values in lists.items() for v in values[i : i + 1]]
+    rows = [(i, key, v) for i, (key, v) in enumerate(events)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    df.withColumns({"ts": F.lit("2024-01-01").cast("timestamp_ntz"), "event_type": F.lit("view"), "props": F.lit("{}")}).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.key: r.sorted for r in registry.QUERIES["detect_sort_whole"](spark, str(tmp_path)).collect()}
+    assert got == {4: "unsorted", 8: "descending", 5: "ascending", 6: "undefined", 7: "undefined", 9: "descending"}
+    empty = spark.range(1).select(scalars.detect_sort(F.array().cast("array<double>")).alias("s"))
+    assert empty.first().s == "undefined"

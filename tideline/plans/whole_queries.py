@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.functions import scalars
 from tideline.operators import indexset, logops, machines, quorum
 from tideline.plans import views
 from tideline.plans.index_queries import _PUTS, _RANGES, _clicks, _puts
@@ -87,3 +88,12 @@ def cluster_scan_whole(spark, sf):
 def workload_mix_whole(spark, sf):
     """As many operations as the log has entries."""
     return machines.workload(spark, _max_idx(spark, sf)).groupBy("op").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+
+
+@query("""WITH l AS (SELECT key, list(amount ORDER BY idx) AS v FROM log GROUP BY key),
+    f AS (SELECT key, len(v) AS n, v = list_sort(v) AS up, v = list_reverse_sort(v) AS down FROM l)
+    SELECT key, CASE WHEN n < 2 OR (up AND down) THEN 'undefined' WHEN up THEN 'ascending' WHEN down THEN 'descending' ELSE 'unsorted' END AS sorted FROM f""")
+def detect_sort_whole(spark, sf):
+    """Every key, by all of its entries."""
+    rows = views.log(spark, sf).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", "amount"))).alias("v"))
+    return rows.select("key", scalars.detect_sort(F.transform("v", lambda x: x["amount"])).alias("sorted"))
