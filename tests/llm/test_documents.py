@@ -282,6 +282,19 @@ def test_best_boundaries():
     assert packing.best_boundaries([], 3, 16) == []
 
 
+def test_pack_is_optimal_over_lengths(spark):
+    from itertools import combinations
+
+    rng = random.Random(8)
+    lengths = [rng.choice([3, 17, 18, 33, 40, 65, 66, 97, 129]) for _ in range(60)] + [17] * 40 + [129]
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    tops = sorted(set(lengths))
+    padding = lambda ends: sum(min(e for e in ends if e >= n) - n for n in lengths)
+    for k in (1, 2, 3, 4):
+        best = min(padding([*c, tops[-1]]) for r in range(k) for c in combinations(tops[:-1], r))
+        assert sum(r.padding for r in packing.pack(df, buckets=k).collect()) == best
+
+
 def test_pack(docs, empty):
     got = packing.pack(docs, max_len=512, budget=2048, buckets=4, shards=3).collect()
     sizes = Counter()
