@@ -106,6 +106,21 @@ def test_simhash(docs, empty):
     assert simhash.drop_near_copies(docs).columns == docs.columns
 
 
+def test_shingle_and_radius(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [words, [*words[:30], "new", *words[31:]], list(reversed(words)), words[:4]]
+    data = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, SCHEMA)
+    fps = [simhash.fingerprint(t.encode(), 5) for _, t, *_ in data]
+    assert fps[0] != simhash.fingerprint(data[0][1].encode())
+    radius = (fps[0] ^ fps[1]).bit_count()
+    got = {r.doc_id: r for r in simhash.simhash_components(df, radius=radius, shingle=5).collect()}
+    links = [(a, b) for a in range(4) for b in range(a + 1, 4) if (fps[a] ^ fps[b]).bit_count() <= radius]
+    want = components(range(4), links)
+    assert want[1] == 0 and {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fps[i]:016x}", want[i]) for i in range(4)}
+    assert {r.doc_id for r in simhash.drop_near_copies(df, radius=radius, shingle=5).collect()} == {i for i, c in want.items() if i == c}
+
+
 def test_vantage_shards_lose_no_pair(spark):
     rng = np.random.default_rng(2)
     far = rng.integers(0, 2**63, 3000, dtype=np.uint64)

@@ -52,16 +52,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.bitwise_or.reduce(np.where(2 * ones > n, np.uint64(1) << _BITS, np.uint64(0))))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary() if pa.types.is_string(batch.column(1).type) else pa.large_binary())
-        values = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
+        values = np.array([fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long); null texts are empty, no words give zero."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
 
 
 class VantageTree:
@@ -169,16 +169,16 @@ def near_duplicates(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     )
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (16 hex digits)``, component_id``."""
-    fps = materialize(fingerprints(docs, id_col, text_col))
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
     return fps.join(near_duplicates(fps, radius), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component."""
-    groups = simhash_components(docs, id_col, text_col, radius).filter("doc_id != component_id")
+    groups = simhash_components(docs, id_col, text_col, radius, shingle).filter("doc_id != component_id")
     dropped = materialize(groups.select(F.col("doc_id").alias("_id")).distinct())
     return drop_rows(docs.withColumn("_id", F.col(id_col).cast("long")), dropped, ["_id"]).drop("_id")
