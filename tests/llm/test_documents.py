@@ -106,6 +106,14 @@ def test_simhash(docs, empty):
     assert simhash.drop_near_copies(docs).columns == docs.columns
 
 
+def test_rows_without_id_are_exempt(spark):
+    data = [(None, "a b c d", "en", "s", 7), (None, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "a b c d", "en", "s", 7), (2, "a b c d", "en", "s", 7), (None, "e f", "en", "s", 3)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for drop, kept in ((drop_copies, [2, 2]), (simhash.drop_near_copies, [1])):
+        assert Counter(r.doc_id for r in drop(df).collect()) == Counter([None, None, None, *kept])
+        assert "Rows without an id are exempt" in drop.__doc__
+
+
 def test_shingle_and_radius(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [words, [*words[:30], "new", *words[31:]], list(reversed(words)), words[:4]]

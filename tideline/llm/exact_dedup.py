@@ -68,7 +68,11 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`text_groups` does not keep."""
+    """``docs`` without the rows that :func:`text_groups` does not keep and that have an id.
+
+    Rows without an id are exempt: all of them stay, copies among them included, as does
+    each row repeated under a kept id.
+    """
     copies = text_groups(docs, id_col, text_col, hash_all=False).filter("not kept and doc_id is not null")
     copies = materialize(copies.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
     keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})

@@ -178,7 +178,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component."""
+    """``docs`` with one document, that of the smallest id, of each component.
+
+    Rows without an id are exempt: all of them stay, copies among them included, as does
+    each row repeated under a kept id.
+    """
     groups = simhash_components(docs, id_col, text_col, radius, shingle).filter("doc_id != component_id")
     dropped = materialize(groups.select(F.col("doc_id").alias("_id")).distinct())
     return drop_rows(docs.withColumn("_id", F.col(id_col).cast("long")), dropped, ["_id"]).drop("_id")
