@@ -1,19 +1,16 @@
 """Language identification by cross-parsing.
 
-Labelled text of each language becomes a suffix automaton. A text is cut into
-the longest pieces that occur in a language's sample; the language that needs
-the fewest pieces, each weighed by the bits it takes to point into its sample,
-describes the text best. Pieces end at word ends (a space before and behind a
-word belongs to it), so the count of a word is the same wherever it stands and
-is kept in a bounded memo per worker.
+Running text of labelled documents of each language becomes a suffix automaton. A
+whole text, in lower case and with white space as single spaces, is cut into the
+longest pieces that occur in a language's sample, across words and punctuation. The
+language that needs the fewest pieces per character, each weighed by the bits it takes
+to point into its sample, wins.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE_DOCS = 64  # labelled documents per language, drawn by a hash of doc_id
-SAMPLE_WORDS = 4000  # their most frequent words, which the automaton holds
-MEMO = 300_000
+SAMPLE_DOCS = 24  # labelled documents per language, drawn by a hash of doc_id
+SAMPLE_CHARS = 4096  # first among those of at most so many code points
 UNKNOWN = "und"
 
 
@@ -84,12 +80,9 @@ def phrases(root: dict, text: str) -> int:
     return n + (state is not root)
 
 
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def words(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower())
+def plain(text: str) -> str:
+    """Lower case, with every run of white space as one space and one at either end."""
+    return f" {' '.join(text.lower().split())} "
 
 
 class Identifier:
@@ -97,38 +90,15 @@ class Identifier:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        self.automata, self.bits = [], []
-        for lang in self.langs:
-            text = " " + " ".join(samples[lang]) + " "
-            self.automata.append(SuffixAutomaton(text).linked())
-            self.bits.append(math.log2(len(text) + 1))
-        self.bits = np.array(self.bits)
-        self.counts = np.zeros((MEMO, len(self.langs) + 1), dtype=np.int32)
-        self._none = [0] * (len(self.langs) + 1)
-        self.memo: dict[str, int] = {}
-
-    def _place(self, word: str) -> int:
-        at, padded = len(self.memo), f" {word} "
-        letters = len(word) if word.isalpha() else sum(map(str.isalpha, word))
-        self.counts[at] = [*(phrases(a, padded) for a in self.automata), letters] if letters else self._none
-        self.memo[word] = at
-        return at
+        texts = ["".join(map(plain, samples[lang])) for lang in self.langs]
+        self.automata = [SuffixAutomaton(t).linked() for t in texts]
+        self.bits = np.array([math.log2(len(t) + 1) for t in texts])
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(self.counts.shape[1], dtype=np.int64)
-        tokens = words(text)
-        for lo in range(0, len(tokens), MEMO // 4):
-            part = tokens[lo : lo + MEMO // 4]
-            if len(self.memo) + len(part) > MEMO:
-                self.memo.clear()
-            memo, place = self.memo, self._place
-            at = [memo[t] if t in memo else place(t) for t in part]
-            total += self.counts[at].sum(0)
-        if not total[-1]:
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        cost = total[:-1] * self.bits / total[-1]
+        text = plain(text)
+        cost = np.array([phrases(a, text) for a in self.automata]) * self.bits / len(text)
         order = np.argsort(cost, kind="stable")
         if len(order) == 1:
             return self.langs[0], 1.0
@@ -160,26 +130,34 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """The sample words of each language: at most ``SAMPLE_WORDS`` from ``SAMPLE_DOCS``
-    documents that have a label, a text and an id whose fold is not 2."""
+    """The sample texts of each language, from documents that have a label, a text that is
+    not empty and an id whose fold is not 2.
+
+    The bound: ``SAMPLE_DOCS`` whole documents of at most ``SAMPLE_CHARS`` code points each,
+    in the order of a hash of the id; where a language has fewer, its next longer ones until
+    ``SAMPLE_DOCS * SAMPLE_CHARS`` code points are reached, the last document being whole.
+    """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter(
-        (fold("i") != 2) & F.col("l").isNotNull() & F.col("t").isNotNull()
+        (fold("i") != 2) & F.col("l").isNotNull() & (F.length("t") > 0)
     )
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    drawn = rows.select("i", "l").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).collect()
-    if not drawn:
+    order = Window.partitionBy("l").orderBy(F.greatest("c", F.lit(SAMPLE_CHARS)), F.xxhash64("i"), "i")
+    each = rows.groupBy("i", "l").agg(F.max(F.length("t")).alias("c"))  # repeated rows count once
+    drawn = each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
+    pairs, read = set(), {}
+    for r in drawn.orderBy("l", "n").collect():
+        if read.get(r.l, 0) < SAMPLE_DOCS * SAMPLE_CHARS:
+            read[r.l] = read.get(r.l, 0) + r.c
+            pairs.add((r.i, r.l))
+    if not pairs:
         return {}
-    seen: dict[str, Counter] = {r.l: Counter() for r in drawn}
-    pairs = {(r.i, r.l) for r in drawn}
-    for r in rows.filter(F.col("i").isin([r.i for r in drawn])).toLocalIterator():
+    texts: dict[str, list[str]] = {}
+    ids = sorted({i for i, _ in pairs})
+    # Rows repeated under a drawn id are grouped away: one text for each id and label.
+    once = rows.filter(F.col("i").isin(ids)).groupBy("i", "l").agg(F.min("t").alias("t")).collect()
+    for r in sorted(once, key=lambda r: r.i):
         if (r.i, r.l) in pairs:
-            pairs.discard((r.i, r.l))
-            seen[r.l].update(words(r.t))
-    return {
-        lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:SAMPLE_WORDS]]
-        for lang, c in seen.items()
-        if c
-    }
+            texts.setdefault(r.l, []).append(r.t)
+    return texts
 
 
 def with_language(docs: DataFrame, samples: dict[str, list[str]], keep: list[str], text_col: str = "text") -> DataFrame:
