@@ -127,19 +127,52 @@ def test_repeats_are_those_of_sorted_suffixes(spark):
     assert any(want[i] for i in pages if i % 2) and all(got[i].text == "own text" for i in pages if i % 2)
 
 
+def shown(role, text):
+    return f"<|im_start|>{role}\n{text}<|im_end|>\n"
+
+
+TURNS = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", None),
+         (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, None, "alone"), (4, 0, None, "alone"), (None, 0, "user", "lost")]
+
+
 def test_preference(spark):
-    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", None),
-             (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, None, "alone"), (4, 0, None, "alone"), (None, 0, "user", "lost")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"pos": F.lit(1), "side": F.lit("x"), "pair_id": F.lit(2)})
-    got = {r.pair_id: r for r in preference.preference_pairs(df, preference.neighbours(df)).collect()}
-    shown = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumns({"pos": F.lit(1), "side": F.lit("x"), "pair_id": F.lit(2)})
+    pairs = spark.createDataFrame([(0, 0, 1), (0, 0, 1), (1, 2, 3), (2, 4, None), (3, None, None), (4, 77, 0)], "pair_id long, chosen_id long, rejected_id long")
+    rows = preference.preference_pairs(df, pairs.withColumns({"conv_id": F.lit("x"), "n": F.lit(1), "prompt": F.lit(2)})).collect()
+    got = {r.pair_id: r for r in rows}
+    assert len(rows) == len(got) == 5
     assert (got[0].prompt, got[0].chosen) == (shown("user", "q"), shown("assistant", "good"))
     assert got[0].rejected == shown("assistant", "bad") + shown("user", "") and got[0].n_prompt_turns == 1
     start, end = map(int, got[0].chosen_mask.split(":"))
     assert got[0].chosen[start:end] == "good" and got[0].rejected_mask.count(":") == 1
     assert (got[1].prompt, got[1].chosen, got[1].rejected, got[1].chosen_mask) == (shown("user", "same"), "", "", "")
     assert (got[2].prompt, got[2].chosen, got[2].rejected, got[2].rejected_id) == ("", shown("", "alone") * 2, "", None)
-    assert preference.preference_pairs(df.limit(0), preference.neighbours(df.limit(0))).count() == 0
+    assert tuple(got[3])[3:] == (0, "", "", "", "", "") and got[4].rejected == shown("user", "q") + shown("assistant", "good") and not got[4].chosen
+    assert preference.preference_pairs(df.limit(0), pairs.limit(0)).count() == 0
+
+
+def test_preference_of_long_conversations(spark):
+    turns = [(c, i, "assistant" if i % 2 else "user", f"turn {i} " + "é" * 5000) for c in (0, 1) for i in range(400)]
+    turns[-3] = (1, 397, "assistant", "other")
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    r = preference.preference_pairs(df, spark.createDataFrame([(7, 0, 1)], "pair_id long, chosen_id long, rejected_id long")).first()
+    assert r.n_prompt_turns == 397 and r.prompt == "".join(shown(x[2], x[3]) for x in turns[:397])
+    cut = [tuple(map(int, m.split(":"))) for m in r.rejected_mask.split(",")]
+    assert [r.rejected[a:b] for a, b in cut] == ["other", turns[399][3]]
+
+
+def test_swapped_answers(spark):
+    turns = [*TURNS, (5, 0, "user", "hm"), (5, 1, "assistant", None), (-3, 0, "assistant", "below")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in preference.preference_pairs(*preference.swapped_answers(df)).collect()}
+    assert set(got) == set(range(6)) and {i for i, r in got.items() if r.rejected_id is not None} == {0, 1}
+    assert (got[0].prompt, got[0].chosen, got[0].rejected) == (shown("user", "q"), shown("assistant", "good"), shown("assistant", "bad"))
+    assert got[1].rejected == shown("assistant", "good") + shown("user", "") and got[1].n_prompt_turns == 1
+
+
+def test_most_pairs_of_the_query_share_turns(spark):
+    got = QUERIES["op7_preference"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.n_prompt_turns > 0 and bool(r.rejected) for r in got) > len(got) / 2
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -42,8 +42,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return preference.preference_pairs(turns, preference.neighbours(turns))
+    return preference.preference_pairs(*preference.swapped_answers(table(spark, sf_dir, "conversations")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +88,19 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op7_preference": """
-        WITH t AS (
-            SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role,
-                   coalesce(text, '') AS text,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
-            FROM conversations WHERE conv_id IS NOT NULL),
+        WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id >= 0),
+        z AS (SELECT conv_id, max(turn) AS at FROM c WHERE role = 'assistant' GROUP BY conv_id),
+        said AS (
+            SELECT conv_id, at, max(coalesce(text, '')) AS said FROM c JOIN z USING (conv_id)
+            WHERE role = 'assistant' AND turn = at GROUP BY conv_id, at),
+        swap AS (SELECT a.conv_id, a.at, b.said AS other FROM said a JOIN said b ON b.conv_id = xor(a.conv_id, 1)),
+        sides AS (
+            SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM c
+            UNION ALL SELECT conv_id, 1, turn, role, CASE WHEN role = 'assistant' AND turn = at THEN other ELSE text END
+            FROM c JOIN swap USING (conv_id)),
+        t AS (
+            SELECT pair_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS pos FROM sides),
         same AS (
             SELECT pair_id, pos, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same
             FROM t GROUP BY pair_id, pos),
@@ -108,16 +115,13 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, (coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, part ORDER BY pos
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 13)::BIGINT AS start
             FROM p WHERE part IS NOT NULL),
-        m AS (SELECT *, CASE WHEN role = 'assistant' THEN start || ':' || (start + length(text)) END AS span FROM s),
-        ids AS (
-            SELECT pair_id, min(CASE WHEN side = 0 THEN conv_id END) AS chosen_id,
-                   min(CASE WHEN side = 1 THEN conv_id END) AS rejected_id FROM t GROUP BY pair_id)
-        SELECT pair_id, any_value(ids.chosen_id) AS chosen_id, any_value(ids.rejected_id) AS rejected_id,
+        m AS (SELECT *, CASE WHEN role = 'assistant' THEN start || ':' || (start + length(text)) END AS span FROM s)
+        SELECT pair_id, pair_id AS chosen_id, CASE WHEN pair_id IN (SELECT conv_id FROM swap) THEN -1 - pair_id END AS rejected_id,
                max(parts) - 1 AS n_prompt_turns,
                coalesce(string_agg(CASE WHEN part = 2 THEN shown END, '' ORDER BY pos), '') AS prompt,
                coalesce(string_agg(CASE WHEN part = 0 THEN shown END, '' ORDER BY pos), '') AS chosen,
                coalesce(string_agg(CASE WHEN part = 1 THEN shown END, '' ORDER BY pos), '') AS rejected,
                coalesce(string_agg(CASE WHEN part = 0 THEN span END, ',' ORDER BY pos), '') AS chosen_mask,
                coalesce(string_agg(CASE WHEN part = 1 THEN span END, ',' ORDER BY pos), '') AS rejected_mask
-        FROM m JOIN ids USING (pair_id) GROUP BY pair_id""",
+        FROM m GROUP BY pair_id""",
 }
