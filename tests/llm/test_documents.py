@@ -158,6 +158,46 @@ def test_suffix_automaton_phrases():
         assert language.phrases(root, text) == n
 
 
+def plain_prediction(samples, text):
+    """Longest pieces by search in the sample itself."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    tidy = lambda t: " " + re.sub(r"\s+", " ", t.lower()).strip() + " "
+    text, cost = tidy(text), {}
+    for lang, rows in samples.items():
+        sample, n, at = "".join(map(tidy, rows)), 0, 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in sample:
+                size += 1
+            at, n = at + size, n + 1
+        cost[lang] = n * np.log2(len(sample) + 1) / len(text)
+    best, second = sorted((c, lang) for lang, c in cost.items())[:2]
+    return best[1], 1 - best[0] / second[0]
+
+
+def test_language_predictions(spark, docs):
+    """Whole predictions, pieces across words included, against plain search."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    samples = language.learn(df)
+    assert len(samples) == 4 and all(0 < len(v) <= language.SAMPLE_DOCS for v in samples.values())
+    assert samples == language.learn(df.unionByName(df).repartition(3))
+    model = language.Identifier(samples)
+    texts = [r.text[i : i + 300] for r in df.orderBy("doc_id").limit(30).collect() for i in (0, 40)] + [r.text for r in docs.select("text").collect() if len(r.text or "") < 2000]
+    for t in texts:
+        got, want = model.predict(t), plain_prediction(samples, t)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+    long = " ".join(r.text for r in df.filter("lang = 'fr'").collect()) * 8
+    assert len(long) > 200_000 and model.predict(long)[0] == "fr"
+
+
+def test_language_learns_from_long_documents_where_there_are_no_others(spark):
+    rows = [(i, "ein langer text über die welt " * 400 if i % 2 else "a short text about the world", ("en", "de")[i % 2]) for i in range(60)]
+    samples = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(samples["en"]) <= language.SAMPLE_DOCS and samples["de"]
+    assert sum(map(len, samples["de"])) < language.SAMPLE_DOCS * language.SAMPLE_CHARS + 12_001
+
+
 def test_language(spark, empty):
     rows = {"en": "the cat sat on the mat and there was nothing else to think about", "de": "der hund und die katze sind nicht über den zaun gesprungen"}
     data = [(i, rows[("en", "de")[i % 2]], ("en", "de")[i % 2], "s", 1) for i in range(80)]
