@@ -162,7 +162,7 @@ def plain_prediction(samples, text):
     """Longest pieces by search in the sample itself."""
     if not text or not any(c.isalpha() for c in text):
         return "und", 0.0
-    tidy = lambda t: " " + re.sub(r"\s+", " ", t.lower()).strip() + " "
+    tidy = lambda t: " " + " ".join("".join(c if re.match(r"[^\W\d_]", c) else " " for c in t.lower()).split()) + " "
     text, cost = tidy(text), {}
     for lang, rows in samples.items():
         sample, n, at = "".join(map(tidy, rows)), 0, 0
