@@ -89,14 +89,14 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op7_preference": """
         WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id >= 0),
-        z AS (SELECT conv_id, max(turn) AS at FROM c WHERE role = 'assistant' GROUP BY conv_id),
+        z AS (SELECT conv_id, max(turn) AS last_turn FROM c WHERE role = 'assistant' GROUP BY conv_id),
         said AS (
-            SELECT conv_id, at, max(coalesce(text, '')) AS said FROM c JOIN z USING (conv_id)
-            WHERE role = 'assistant' AND turn = at GROUP BY conv_id, at),
-        swap AS (SELECT a.conv_id, a.at, b.said AS other FROM said a JOIN said b ON b.conv_id = xor(a.conv_id, 1)),
+            SELECT conv_id, last_turn, max(coalesce(text, '')) AS said FROM c JOIN z USING (conv_id)
+            WHERE role = 'assistant' AND turn = last_turn GROUP BY conv_id, last_turn),
+        swap AS (SELECT a.conv_id, a.last_turn, b.said AS other FROM said a JOIN said b ON b.conv_id = xor(a.conv_id, 1)),
         sides AS (
             SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM c
-            UNION ALL SELECT conv_id, 1, turn, role, CASE WHEN role = 'assistant' AND turn = at THEN other ELSE text END
+            UNION ALL SELECT conv_id, 1, turn, role, CASE WHEN role = 'assistant' AND turn = last_turn THEN other ELSE text END
             FROM c JOIN swap USING (conv_id)),
         t AS (
             SELECT pair_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
