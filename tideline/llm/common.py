@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the one named by ``spark.checkpoint.dir``; only where that is unset
-    (as in tests on one machine) a temporary folder takes its place.
+    It is the one named by ``spark.checkpoint.dir``. Where that is unset a temporary folder
+    takes its place, but only if one machine runs everything (``local`` masters, as in
+    tests): executors elsewhere would not see it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -68,9 +72,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+BROADCAST_ROWS = 500_000  # rows of a few numbers each, some tens of megabytes
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` (narrow rows, read from a written table) is small enough to broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, on: list[str], broadcast_rows: int = 50_000) -> DataFrame:
     """``docs`` without the rows named in ``dropped``. The names are broadcast only where
     there are few of them; beyond that both sides are shuffled."""
-    if dropped.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, on, "left_anti")
+    return docs.join(F.broadcast(dropped) if few(dropped, broadcast_rows) else dropped, on, "left_anti")
