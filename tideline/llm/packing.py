@@ -5,7 +5,8 @@ into pieces of that length. The global histogram of piece lengths, in bins of
 ``step`` tokens, has at most ``max_len / step`` rows however many documents there
 are; dynamic programming over it picks the bucket boundaries. With a step of one,
 which is the default, they are the best among all lengths. Rows are numbered
-inside a bucket by counting per shard first, so no window holds a whole bucket.
+inside a bucket by counting per shard first, so no window holds a whole bucket; shards
+are dealt by a row number that is written down, so repeated ids share none.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.common import id_and_text
+from tideline.llm.common import id_and_text, materialize
 
 MAX_LEN, STEP, BUCKETS, BUDGET, SHARDS = 8192, 1, 8, 65_536, 1024
 
@@ -67,13 +68,16 @@ def pack(
     ``batch`` numbers the batches of a bucket from 0; a batch holds as many pieces of
     ``bucket_len`` tokens as ``budget`` allows, at least one. Null and empty texts are one
     piece without tokens in the first bucket. Rows may repeat and ids may be null; each row
-    is packed. An empty table gives no rows.
+    is packed. Which batch a piece falls into may differ from run to run, how many batches a
+    bucket has and how full they are may not. An empty table gives no rows.
     """
     sized = id_and_text(docs, id_col, text_col).select("doc_id", F.octet_length("text").alias("_n"))
+    # Written, as row numbers may come out otherwise when a task runs again.
+    sized = materialize(sized.withColumn("_row", F.monotonically_increasing_id()))
     last = F.greatest(F.ceil(F.col("_n") / max_len) - 1, F.lit(0)).cast("int")
-    pieces = sized.select("doc_id", "_n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = sized.select("doc_id", "_row", "_n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.select(
-        "doc_id", "piece", F.least(F.lit(max_len), F.col("_n") - F.col("piece") * max_len).cast("long").alias("n_tokens")
+        "doc_id", "_row", "piece", F.least(F.lit(max_len), F.col("_n") - F.col("piece") * max_len).cast("long").alias("n_tokens")
     )
     bin_ = F.greatest(F.ceil(F.col("n_tokens") / step), F.lit(1)).cast("int")
     histogram = pieces.groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("b")
@@ -84,13 +88,13 @@ def pack(
         {
             "bucket": bucket.cast("int"),
             "bucket_len": length.cast("long"),
-            "_s": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"),
+            "_s": F.pmod(F.xxhash64("_row", "piece"), F.lit(shards)).cast("int"),
         }
     )
     before = Window.partitionBy("bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("bucket", "_s").count()  # at most buckets x shards rows, so it is broadcast
     counts = counts.select("bucket", "_s", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("bucket", "_s").orderBy("doc_id", "piece", "n_tokens")
+    order = Window.partitionBy("bucket", "_s").orderBy("doc_id", "piece", "_row")
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
     at = F.col("_before") + F.row_number().over(order) - 1
     return (
