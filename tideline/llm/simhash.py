@@ -6,7 +6,9 @@ decides the side. A fingerprint is stored in one shard and probes that shard
 and those which the triangle bound leaves open: if two fingerprints differ in
 at most r bits, their distances to any vantage point differ by at most r. Of a
 pair that a node parts, only the near side probes across, so each pair meets in
-one shard. Inside a shard the same bound prunes again before bits are counted.
+one shard. Inside a shard the same bound prunes again before bits are counted. The upper
+levels are fitted to a sample; below them vantage points are pseudo-random, as the
+bits of what is left there are near random, so the tree grows with the table.
 """
 
 from __future__ import annotations
@@ -64,12 +66,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
 
 
+def _scattered(nodes: np.ndarray) -> np.ndarray:
+    """A pseudo-random vantage point for each node number."""
+    x = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
 class VantageTree:
-    """Inner nodes in heap order: a vantage point and the largest near distance."""
+    """Inner nodes in heap order: a vantage point and the largest near distance. ``deeper``
+    levels without a table follow below the ``depth`` fitted ones."""
 
-    def __init__(self, sample: np.ndarray, depth: int):
+    def __init__(self, sample: np.ndarray, depth: int, deeper: int = 0):
         rng = np.random.default_rng(7)
-        self.depth = depth
+        self.depth, self.deeper = depth, deeper
         self.points = np.zeros(max(1, 2**depth - 1), dtype=np.uint64)
         self.radii = np.zeros(len(self.points), dtype=np.int64)
         held = {0: sample}
@@ -87,18 +98,23 @@ class VantageTree:
                 near = np.zeros(0, dtype=bool)
             held[2 * node + 1], held[2 * node + 2] = own[near], own[~near]
 
+    def _nodes(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray | int]:
+        return (self.points[at], self.radii[at]) if level < self.depth else (_scattered(at), 31)
+
     def route(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Home leaf of each fingerprint; index and leaf of its probes in other leaves."""
         home = np.zeros(len(fps), dtype=np.int64)
         who, at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         everyone = np.arange(len(fps))
-        for _ in range(self.depth):
-            d = np.bitwise_count(fps[who] ^ self.points[at]).astype(np.int64)
-            left, right = d - radius <= self.radii[at], d + radius > self.radii[at]
+        for level in range(self.depth + self.deeper):
+            point, cut = self._nodes(level, at)
+            d = np.bitwise_count(fps[who] ^ point).astype(np.int64)
+            left, right = d - radius <= cut, d + radius > cut
             who, at = np.concatenate([who[left], who[right]]), np.concatenate([2 * at[left] + 1, 2 * at[right] + 2])
-            d = np.bitwise_count(fps ^ self.points[home]).astype(np.int64)
-            near = d <= self.radii[home]
-            across = near & (d + radius > self.radii[home])
+            point, cut = self._nodes(level, home)
+            d = np.bitwise_count(fps ^ point).astype(np.int64)
+            near = d <= cut
+            across = near & (d + radius > cut)
             who, at = np.concatenate([who, everyone[across]]), np.concatenate([at, 2 * home[across] + 2])
             home = np.where(near, 2 * home + 1, 2 * home + 2)
         return home, who, at
@@ -124,7 +140,7 @@ def _close(radius: int):
     return match
 
 
-def near_duplicates(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_duplicates(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """``fp, component_id`` for each distinct fingerprint of ``fps`` (``doc_id, fp``).
 
     Fingerprints that differ in at most ``radius`` bits are linked; the component is
@@ -135,9 +151,10 @@ def near_duplicates(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
     known = classes.filter("id is not null")
     n = known.count()
-    depth = min(int(np.ceil(np.log2(max(1, n / shard)))), int(np.log2(SAMPLE)) - 4)
-    drawn = known.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE if depth else 1).select("fp").collect()
-    tree = VantageTree(np.array([r.fp for r in drawn], dtype=np.int64).view(np.uint64), depth)
+    levels = int(np.ceil(np.log2(max(1, n / shard))))
+    depth = min(levels, int(np.log2(sample)) - 4)
+    drawn = known.orderBy(F.xxhash64("fp"), "fp").limit(sample if depth else 1).select("fp").collect()
+    tree = VantageTree(np.array([r.fp for r in drawn], dtype=np.int64).view(np.uint64), depth, levels - depth)
 
     def routed(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
         for batch in batches:
