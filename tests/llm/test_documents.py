@@ -68,6 +68,31 @@ def test_exact_groups(docs, empty):
     assert drop_copies(docs).columns == docs.columns
 
 
+def test_exact_groups_beyond_broadcast(docs, monkeypatch):
+    from tideline.llm import exact_dedup
+
+    want = Counter(tuple(r) for r in text_groups(docs).collect()), Counter(r.doc_id for r in drop_copies(docs).collect())
+    monkeypatch.setattr(exact_dedup, "few", lambda df: False)
+    assert (Counter(tuple(r) for r in text_groups(docs).collect()), Counter(r.doc_id for r in drop_copies(docs).collect())) == want
+
+
+def test_only_texts_that_begin_alike_are_hashed(spark):
+    rows = [(1, "same"), (2, "same"), (3, "diff"), (4, "x" * 200 + "a"), (5, "x" * 200 + "b"), (6, "longer")]
+    got = text_groups(spark.createDataFrame(rows, "doc_id long, text string"), hash_all=False).collect()
+    assert {r.doc_id for r in got if r.text_sha256} == {1, 2, 4, 5} and {r.doc_id for r in got if not r.kept} == {1}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tideline.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
 def plain_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
@@ -142,8 +167,9 @@ def test_vantage_shards_lose_no_pair(spark):
     for i in range(len(fps)):
         links += [(i, int(j) + i + 1) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 2)]
     want = components(range(len(fps)), links)
-    got = {r.fp: r.component_id for r in simhash.near_duplicates(df, shard=40).collect()}
-    assert all(got[int(x)] == want[i] for i, x in enumerate(fps.view(np.int64)))
+    for sample in (1 << 15, 64):  # all levels fitted; two fitted and five below them
+        got = {r.fp: r.component_id for r in simhash.near_duplicates(df, shard=40, sample=sample).collect()}
+        assert all(got[int(x)] == want[i] for i, x in enumerate(fps.view(np.int64)))
 
 
 def test_suffix_automaton_phrases():
@@ -322,10 +348,92 @@ def test_context_discovers_identifiers(spark):
 def test_masking(spark):
     df = spark.createDataFrame([(1, "é mail a@b.co and 10.0.0.1."), (2, "none"), (3, "")], "doc_id long, text string")
     rows = pii.with_spans(df.withColumn("_key", F.sha2("text", 256)), "_key")
-    got = {r.doc_id: r.t for r in rows.select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("t")).collect()}
+    got = {r.doc_id: r.t for r in pii.mask(rows, "text", "spans", "t").select("doc_id", "t").collect()}
     assert got == {1: "é mail [EMAIL] and [IP].", 2: "none", 3: ""}
 
 
+def test_masking_of_random_spans(spark):
+    rng = random.Random(3)
+    data = []
+    for i in range(12):
+        text = "".join(rng.choice("abcé🎉 ") for _ in range(rng.choice([10, 4096, 9000, 20_000])))
+        spans = sorted((s, rng.randint(0, 4), min(len(text), s + rng.choice([1, 7, 5000]))) for s in rng.sample(range(len(text)), rng.choice([0, 1, min(9, len(text)), min(700, len(text))])))
+        data.append((i, text, [dict(zip("ske", x)) for x in spans]))
+    df = spark.createDataFrame(data, "doc_id long, text string, spans array<struct<s:int,k:int,e:int>>")
+    got = {r.doc_id: r.t for r in pii.mask(df, "text", "spans", "t").collect()}
+    for i, text, spans in data:
+        want, at = "", 0
+        for x in spans:
+            if x["s"] >= at:
+                want += text[at : x["s"]] + f"[{[*pii.KINDS, 'id'][x['k']].upper()}]"
+            at = max(at, x["e"])
+        assert got[i] == want + text[at:]
+
+
+def plain_added(rows):
+    """All spans by a plain version of the bootstrap."""
+    found, edges = {}, defaultdict(set)
+    for i, text in rows:
+        base = plain_spans(text)
+        ids = [m.span() for m in re.finditer(r"(?<![0-9A-Za-z])(?=[A-Za-z]*[0-9])[0-9A-Za-z][0-9A-Za-z_-]{5,63}(?![0-9A-Za-z_-])", text)]
+        ids = [(s, e) for s, e in ids if sum(c.isdigit() for c in text[s:e]) >= 4 and not any(a < e and s < b for a, _, b, _ in base)]
+        found[i] = [(a, b, True) for a, _, b, _ in base] + [(s, e, False) for s, e in ids]
+    contexts = {}
+    for i, text in rows:
+        for s, e, seed in found[i]:
+            ahead, behind = text[max(0, s - pii.WIDTH) : s].lower(), text[e : e + pii.WIDTH].lower()
+            squeeze = lambda x: re.sub(r"\s+", " ", x)
+            two, last, first = re.search(r"\S+\s+\S+\s*$", ahead), re.search(r"\S+\s*$", ahead), re.search(r"^\s*\S+", behind)
+            own = ["l " + squeeze(two[0])] if two else []
+            own += ["a " + squeeze(last[0]) + "\t" + squeeze(first[0])] if last and first else []
+            contexts[i, s, e] = own
+            for p in own:
+                edges[p].add((text[s:e].lower(), seed))
+    score = {}
+    for p in edges:
+        kinds = defaultdict(bool)
+        for v, seed in edges[p]:
+            kinds[v] |= seed
+        score[p] = kinds
+    score = {p: k for p, k in score.items() if sum(k.values()) >= pii.SUPPORT}
+    value = {(p, v): float(seed) for p, k in score.items() for v, seed in k.items()}
+    for n in range(pii.ROUNDS):
+        conf = {p: np.mean([value[p, v] for v in k]) for p, k in score.items()}
+        if n < pii.ROUNDS - 1:
+            none = defaultdict(lambda: 1.0)
+            for p, k in score.items():
+                for v in k:
+                    none[v] *= 1 - min(conf[p], 0.99)
+            value = {(p, v): 1.0 if score[p][v] else (1 - none[v] if 1 - none[v] >= pii.CONFIDENCE else 0.0) for p, v in value}
+    good = {p for p, c in conf.items() if c >= pii.CONFIDENCE}
+    out = {}
+    for i, text in rows:
+        spans = [(a, k, b) for a, k, b, _ in plain_spans(text)]
+        spans += [(s, 4, e) for s, e, seed in found[i] if not seed and good & set(contexts[i, s, e])]
+        out[i] = ",".join(f"{[*pii.KINDS, 'id'][k]}:{s}:{e}" for s, k, e in sorted(spans))
+    return out
+
+
+def test_added_spans_are_those_of_a_plain_version(spark):
+    rng = random.Random(7)
+    frames = ["call my number {} today", "account no {} closed", "mail to {} at once", "the serial {} only", "ref {}"]
+    secret = lambda: rng.choice([f"+49 30{rng.randint(10**6, 10**7)}", f"a{rng.randint(0, 99)}@b.de", f"X{rng.randint(1000, 1040)}-{rng.randint(10, 99)}", "word"])
+    rows = [(i, " ".join(rng.choice(frames[: 1 + i % 5]).format(secret()) for _ in range(rng.randint(1, 4)))) for i in range(150)]
+    rows += [(1000 + i, f"dial my line +49 30555{1000 + i} now, please") for i in range(20)] + [(1100 + i, f"dial my line Q{7000 + i}-AB now, please") for i in range(3)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_added(rows)
+    assert got == want and any("id:" in s for s in want.values())
+
+
+def test_a_text_with_a_hundred_thousand_matches(spark):
+    text = " ".join(f"u{i}@mail.example 10.0.{i % 256}.7 ref-{100000 + i}" for i in range(34_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.personal_data(df).first()
+    assert (r.n_email, r.n_ip) == (34_000, 34_000)
+    want = plain_spans(text)
+    assert hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest() == r.base_sha256
+
+
 def test_best_boundaries():
     from itertools import combinations
 
@@ -358,6 +466,39 @@ def test_pack_is_optimal_over_lengths(spark):
         assert sum(r.padding for r in packing.pack(df, buckets=k).collect()) == best
 
 
+def plain_packing(rows, max_len, buckets, budget):
+    """Pieces, boundaries over all choices, and how many pieces each batch of a bucket holds."""
+    from itertools import combinations
+
+    pieces = [min(max_len, len(t) - k * max_len) for t in rows for k in range(max(1, -(-len(t) // max_len)))]
+    tops = sorted({max(1, n) for n in pieces})
+    cost = lambda ends: sum(min(e for e in ends if e >= n) - n for n in pieces)
+    best = min(cost([*c, tops[-1]]) for r in range(min(buckets, len(tops))) for c in combinations(tops[:-1], r))
+    return pieces, best
+
+
+def test_packing_is_that_of_a_plain_version(spark):
+    rng = random.Random(12)
+    texts = ["é" * rng.choice([0, 1, 5, 9, 30, 31, 64, 200]) for _ in range(70)]
+    rows = [(rng.choice([None, 1, 1, i]), t) for i, t in enumerate(texts)] + [(1, "é" * 9)] * 25
+    pieces, best = plain_packing([t.encode() for _, t in rows], 100, 3, 250)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), max_len=100, buckets=3, budget=250, shards=4).collect()
+    assert Counter(r.n_tokens for r in got) == Counter(pieces) and sum(r.padding for r in got) == best
+    assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(i for i, _ in rows)
+    ends = sorted({r.bucket_len for r in got})
+    for r in got:
+        assert r.bucket_len == min(e for e in ends if e >= r.n_tokens) and r.bucket == ends.index(r.bucket_len)
+    for e in ends:
+        n, per = sum(r.bucket_len == e for r in got), max(1, 250 // e)
+        filled = Counter(r.batch for r in got if r.bucket_len == e)
+        assert filled == Counter({b: min(per, n - b * per) for b in range(-(-n // per))})
+
+
+def test_packing_spreads_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "abc")] * 500, "doc_id long, text string")
+    assert Counter((r.batch, r.slot) for r in packing.pack(df, budget=30).collect()) == Counter((i // 10, i % 10) for i in range(500))
+
+
 def test_pack(docs, empty):
     got = packing.pack(docs, max_len=512, budget=2048, buckets=4, shards=3).collect()
     sizes = Counter()

@@ -5,6 +5,10 @@ the words around seeds become lexical patterns, patterns and the strings they
 surround form a graph, and a few rounds of scoring pass confidence from seeds to
 patterns and from patterns to other identifier-like strings. Occurrences of such
 strings in patterns of high confidence are added as spans of kind ``id``.
+
+Sums and maxima along the matches of a text are taken in blocks of ``BLOCK``, and words
+around a match are cut from pages of ``PAGE`` code points, so a text with a hundred
+thousand matches costs about as much as that many texts with one.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
 WIDTH = 48  # code points on either side from which context words are taken
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS, BROADCAST_SPANS = 50_000, 500_000
+BLOCK, PAGE = 256, 4096
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -62,20 +67,48 @@ VALID = {
 }
 
 
-def _spans(matches: str, pieces: str) -> Column:
-    """Places of matches, from the lengths of the matches and of what lies between them."""
+def _ahead(items: Column, start: Column, merge) -> Column:
+    """What has been merged before each item, for a short array."""
+    zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(
+        items, zero, lambda a, x: F.struct(merge(a["at"], x).cast("int").alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"]
+    )
+
+
+def _blocked(size: Column, block) -> Column:
+    """``block(first place, items)`` for every ``BLOCK`` of ``size`` items."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(BLOCK)), lambda b: block(b, F.least(F.lit(BLOCK), size - b)))
+
+
+def _starts(blocks: str, merge) -> Column:
+    return _ahead(F.transform(blocks, lambda blk: F.aggregate(blk, F.lit(0), lambda a, x: merge(a, x).cast("int"))), F.lit(0), merge)
+
+
+def _running(blocks: str, starts: str, merge) -> Column:
+    return F.flatten(F.zip_with(blocks, starts, lambda blk, at: _ahead(blk, at, merge)))
+
+
+def _sum(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def _lengths(matches: str, pieces: str) -> Column:
+    """Blocks of how far each match reaches beyond the end of the match before it."""
     m, p = F.col(matches), F.col(pieces)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
-    zero = F.struct(zero["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+    both = lambda b, n: F.zip_with(F.slice(p, b + 1, n), F.slice(m, b + 1, n), lambda q, v: F.length(q) + F.length(v))
+    return F.when(F.size(m) > 0, _blocked(F.size(m), both)).otherwise(F.array().cast("array<array<int>>"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(p, i))
-        end = start + F.length(F.get(m, i))
-        found = F.struct(start.alias("s"), end.alias("e"), F.get(m, i).alias("v"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], found).alias("out"))
 
-    some = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(m) > 0, some).otherwise(F.array().cast(SPAN))
+def _spans(matches: str, pieces: str, before: Column) -> Column:
+    """Places of matches, from their lengths, those of what lies between them and where the
+    match before each one ended."""
+    found = F.zip_with(matches, F.coalesce(pieces, F.array().cast("array<string>")), lambda v, q: F.struct(v.alias("v"), F.length(q).alias("g")))
+
+    def placed(x: Column, at: Column) -> Column:
+        s = at + x["g"]
+        return F.struct(s.alias("s"), (s + F.length(x["v"])).alias("e"), x["v"].alias("v"))
+
+    return F.filter(F.zip_with(found, before, placed), lambda x: x["v"].isNotNull())
 
 
 def _valid(kind: str):
@@ -101,7 +134,9 @@ def find_spans(rows: DataFrame, text: str = "text") -> DataFrame:
         found[f"_m_{k}"] = F.when(F.instr(t, SIGNS[k]) > 0, all_of).otherwise(none) if k in SIGNS else all_of
     df = _once(rows, **found)
     df = _once(df, **{f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(t, PATTERNS[k], -1)) for k in kinds})
-    df = _once(df, **{f"_s_{k}": F.filter(_spans(f"_m_{k}", f"_p_{k}"), _valid(k)) for k in kinds})
+    df = _once(df, **{f"_b_{k}": _lengths(f"_m_{k}", f"_p_{k}") for k in kinds})
+    df = _once(df, **{f"_t_{k}": _starts(f"_b_{k}", _sum) for k in kinds})
+    df = _once(df, **{f"_s_{k}": F.filter(_spans(f"_m_{k}", f"_p_{k}", _running(f"_b_{k}", f"_t_{k}", _sum)), _valid(k)) for k in kinds})
     base = F.concat(
         *(
             F.transform(f"_s_{k}", _of_kind(n))
@@ -109,19 +144,38 @@ def find_spans(rows: DataFrame, text: str = "text") -> DataFrame:
         )
     )
     df = _once(df, base=F.array_sort(base))
-    free = F.filter("_s_id", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    df = _once(df, ids=free)
-    return df.drop(*(f"_{a}_{k}" for a in "mps" for k in kinds))
+
+    def reach(b: Column, n: Column) -> Column:
+        items = F.transform(F.slice("base", b + 1, n), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        ends = F.transform(F.slice("base", b + 1, n), lambda x: x["e"])
+        return F.struct(F.get("base", b)["s"].alias("s"), F.array_max(ends).alias("e"), items.alias("items"))
+
+    df = _once(df, _near=F.when(F.size("base") > 0, _blocked(F.size("base"), reach)))
+    meets = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
+    free = F.filter("_s_id", lambda x: ~F.exists("_near", lambda n: meets(n, x) & F.exists(n["items"], lambda b: meets(b, x))))
+    df = _once(df, ids=F.when(F.col("_near").isNull(), F.col("_s_id")).otherwise(free))
+    return df.drop("_near", *(f"_{a}_{k}" for a in "mpbts" for k in kinds))
+
+
+def _pages(text: str, more: int) -> Column:
+    """The text in pages of ``PAGE`` code points, each with ``more`` of what follows."""
+    t = F.col(text)
+    places = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(PAGE))
+    return F.transform(places, lambda k: F.substring(t, k + 1, F.lit(PAGE + more)))
 
 
-def _contexts(text: str, spans: Column, seed: bool) -> Column:
+def _contexts(pages: str, spans: Column, seed: bool) -> Column:
     """``s, e, v, seed, patterns`` of each span: the two words before it, and the word
     before with the word behind."""
-    t = F.col(text)
+
+    def cut(at: Column, n: Column) -> Column:
+        page = F.get(F.col(pages), F.floor(at / PAGE).cast("int"))
+        return F.lower(F.substring(F.coalesce(page, F.lit("")), at % PAGE + 1, n))
 
     def one(x: Column) -> Column:
-        ahead = F.lower(F.substring(t, F.greatest(x["s"] - WIDTH + 1, F.lit(1)), F.least(x["s"], F.lit(WIDTH))))
-        behind = F.lower(F.substring(t, x["e"] + 1, F.lit(WIDTH)))
+        first_place = F.greatest(x["s"] - WIDTH, F.lit(0))
+        ahead = cut(first_place, x["s"] - first_place)
+        behind = cut(x["e"], F.lit(WIDTH))
         two = F.regexp_extract(ahead, r"(\S+\s+\S+\s*)$", 1)
         last, first = F.regexp_extract(ahead, r"(\S+\s*)$", 1), F.regexp_extract(behind, r"^(\s*\S+)", 1)
         squeeze = lambda c: F.regexp_replace(c, r"\s+", " ")
@@ -163,8 +217,9 @@ def learn_patterns(spans: DataFrame) -> DataFrame:
 
 def added_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, added``: spans (structs ``s, k, e``) that context adds, for rows of :func:`find_spans`."""
-    each = F.explode(F.concat(_contexts(text, F.col("base"), True), _contexts(text, F.col("ids"), False)))
-    spans = rows.filter((F.size("base") > 0) | (F.size("ids") > 0)).select(key, each.alias("x")).select(key, "x.*")
+    some = _once(rows.filter((F.size("base") > 0) | (F.size("ids") > 0)), _pages=_pages(text, WIDTH))
+    each = F.explode(F.concat(_contexts("_pages", F.col("base"), True), _contexts("_pages", F.col("ids"), False)))
+    spans = some.select(key, each.alias("x")).select(key, "x.*")
     spans = materialize(spans)
     edges = spans.select("v", "seed", F.explode("patterns").alias("pattern"))
     good = materialize(learn_patterns(edges))
@@ -182,7 +237,8 @@ def with_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``rows`` with ``base`` and ``spans`` (base and added ones, sorted by start and kind)."""
     found = find_spans(rows, text)
     added = added_spans(found, key, text)
-    if added.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else an ordinary join
+    n, spans = added.agg(F.count("*"), F.coalesce(F.sum(F.size("added")), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and spans <= BROADCAST_SPANS:  # else an ordinary join
         added = F.broadcast(added)
     plain = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     more = F.coalesce("added", F.array().cast("array<struct<s:int,k:int,e:int>>"))
@@ -196,6 +252,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind as listed (``id`` last). Null texts are empty; a text without spans has an empty
     string and its digest. Ids may be null or repeat: every row is judged by its own text,
     so repeated rows give equal results. An empty table gives no rows.
+
+    Added spans are runs of 6 to 64 ASCII letters, digits, ``_`` and ``-`` with 4 digits or
+    more, in a pattern that ``SUPPORT`` distinct seeds have and whose confidence reaches
+    ``CONFIDENCE``. They overlap neither base spans, which go first, nor each other. Context
+    words are those within ``WIDTH`` code points on either side.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("_key", F.sha2("text", 256))
@@ -204,19 +265,29 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in brackets; of spans that overlap the
-    first stands for all."""
+def mask(rows: DataFrame, text: str, spans: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: ``text`` (not null) with each span replaced by its kind in
+    brackets; of spans that overlap the first stands for all."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in [*KINDS, "id"]))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(new, F.array_append(acc["out"], F.concat(gap, F.get(names, x["k"])))).otherwise(acc["out"]).alias("out"),
+    ends = lambda b, n: F.transform(F.slice(spans, b + 1, n), lambda x: x["e"])
+    df = _once(rows, _b=_blocked(F.size(spans), ends))
+    df = _once(df, _t=_starts("_b", F.greatest))
+    label = lambda x, at: F.when(x["s"] >= at, F.get(names, x["k"])).otherwise("")
+    told = F.zip_with(spans, _running("_b", "_t", F.greatest), lambda x, at: F.struct(x["s"].alias("s"), x["e"].alias("e"), label(x, at).alias("l")))
+    df = _once(df, _own=F.filter(told, lambda x: x["s"].isNotNull()), _pages=_pages(text, 0))
+
+    def page(part: Column, k: Column) -> Column:
+        lo = k * PAGE
+
+        def step(acc: Column, x: Column) -> Column:
+            gap = F.substring(part, acc["at"] - lo + 1, F.greatest(F.greatest(x["s"], lo) - acc["at"], F.lit(0)))
+            shown = F.when(x["s"] >= lo, x["l"]).otherwise("")
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap, shown).alias("out"))
+
+        own = F.filter("_own", lambda x: (x["e"] > lo) & (x["s"] < lo + PAGE))
+        return F.aggregate(
+            own, F.struct(lo.alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(part, a["at"] - lo + 1, F.lit(PAGE)))
         )
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    whole = F.array_join(F.transform("_pages", page), "")
+    return df.withColumn(out, F.when(F.size(spans) > 0, whole).otherwise(F.col(text))).drop("_b", "_t", "_own", "_pages")
