@@ -1,6 +1,8 @@
 """Small cases with known results."""
 
+import datetime
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,80 @@ def test_metadata_vote_reset(spark):
     rows = [("a", 1, "voted_for", 7), ("a", 2, "current_term", 2), ("b", 1, "current_term", 1), ("b", 2, "voted_for", 9)]
     df = spark.createDataFrame(rows, "uid string, seq long, field string, value long")
     assert {r.uid: r.voted_for for r in logops.latest_meta(df).collect()} == {"a": None, "b": 9}
+
+
+def test_admission_rules(spark):
+    rows = [("a", 1, 5, 4), ("a", 2, 6, 5), ("a", 3, 9, 8), ("a", 4, 10, 9), ("a", 5, 7, 6), ("a", 6, 9, 7), ("b", 1, 1, 0), ("b", 2, 3, 2), ("b", 3, 4, 3), ("b", 4, 9, 8), ("c", 1, 3, 2), ("c", 2, 3, 9)]
+    df = spark.createDataFrame(rows, "uid string, arrival long, idx long, prev long").withColumn("term", F.lit(1))
+    floors = spark.createDataFrame([("b", 4), ("c", 3)], "uid string, smallest long")
+    got = {(r.uid, r.n): (r.status, r.truncates) for r in logops.admission(df.repartition(4), floors).collect()}
+    a = ["accepted", "accepted", "resend", "dropped", "accepted", "accepted"]
+    assert [got["a", n] for n in range(6)] == [(s, False) for s in a]
+    assert [got["b", n] for n in range(4)] == [("below", False), ("below", False), ("accepted", True), ("resend", False)]
+    assert [got["c", n] for n in range(2)] == [("accepted", False), ("accepted", True)]
+
+
+def test_files_start_anew_and_overshoot(spark):
+    sizes = [10, 200, 5, 5, 5, 150, 1, 1]
+    df = spark.createDataFrame([("a", i + 1, n) for i, n in enumerate(sizes)], "uid string, idx long, n long")
+    files = lambda *a: [r.file for r in logops.file_numbers(df, F.col("n"), *a).orderBy("idx").collect()]
+    assert files(100) == [0, 0, 1, 1, 1, 1, 2, 2]
+    assert files(100, 2) == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert files(14) == [0, 0, 1, 1, 1, 2, 3, 3]
+
+
+def test_debounce_counts_from_the_last_one_let_through(spark):
+    rows = [("k", i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=10 * i)) for i in range(10)] + [("j", 0, datetime.datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "key string, idx long, ts timestamp")
+    got = sorted((r.key, r.idx) for r in logops.debounce(df, "key", "ts", 20).collect())
+    assert got == [("j", 0), ("k", 0), ("k", 3), ("k", 6), ("k", 9)]  # twenty seconds are not more than twenty
+
+
+def test_sparse_inserts(spark):
+    rows = [("a", 1, 4, 3), ("a", 2, 6, 5), ("a", 3, 7, 4), ("a", 4, 7, 7), ("a", 5, 7, 99), ("a", 6, 9, 7), ("a", 7, 10, 9)]
+    df = spark.createDataFrame(rows, "uid string, arrival long, idx long, prev_idx long")
+    got = [r.status for r in logops.insert_status(df, 2).orderBy("arrival").collect()]
+    assert got == ["ok", "gap_detected", "ok", "overwriting", "overwriting", "ok", "limit_reached"]
+    rows = [("a", n, i) for n, i in enumerate([5, 6, 6, 7, 8])] + [("b", n, i) for n, i in enumerate([1, 3, 2])]
+    got = [(r.uid, r.status) for r in logops.dense_insert_status(spark.createDataFrame(rows, "uid string, arrival long, idx long"), 2).orderBy("uid", "arrival").collect()]
+    assert got == [("a", "ok"), ("a", "ok"), ("a", "overwriting"), ("a", "ok"), ("a", "limit_reached"), ("b", "ok"), ("b", "unexpected_sparse"), ("b", "stopped")]
+
+
+def test_recovery_tolerates_only_a_torn_end(spark):
+    rows = [("a", 2 * i, i, 1, b"x", zlib.crc32(b"x")) for i in range(1, 6)] + [("gone", 3, 1, 1, b"x", 7)]
+    frame = lambda r: spark.createDataFrame(r, "uid string, write_seq long, idx long, term long, payload binary, crc long")
+    registry, floors = spark.createDataFrame([("a",)], "uid string"), spark.createDataFrame([("a", 2)], "uid string, smallest long")
+    torn = [*rows, ("a", 12, 6, 1, b"x", 1)]
+    assert sorted(r.idx for r in logops.recover(frame(torn), registry, floors).collect()) == [2, 3, 4, 5]
+    with pytest.raises(Exception, match="bad checksum"):
+        logops.recover(frame([*torn, ("a", 14, 7, 1, b"x", zlib.crc32(b"x"))]), registry, floors).collect()
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_dequeues_of_an_empty_queue_take_no_number(spark, block):
+    rng = random.Random(block)
+    ops = [(q, i, rng.choice(["enq", "deq", "deq"] if rng.random() < 0.6 else ["enq"])) for q in (1, 2) for i in range(1, 80)]
+    want, held = [], {1: [], 2: []}
+    for q, i, op in ops:
+        if op == "enq":
+            held[q].append(i)
+        else:
+            want.append((q, i, held[q].pop(0) if held[q] else None))
+    got = [tuple(r) for r in queues.matched(spark.createDataFrame(ops, "queue long, idx long, op string"), block).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_full_windows_get_nothing(spark):
+    rows = [(1, 1, 10, 11, 5, "normal"), (1, 2, 10, 15, 5, "normal"), (1, 3, 10, 13, 5, "suspended"), (1, 4, 19, 20, 9, "normal"), (1, 5, 19, 20, 8, "normal")]
+    df = spark.createDataFrame(rows, "cluster long, member long, match_index long, next_index long, commit_sent long, status string")
+    sent = lambda **k: sorted((r.member, r.batch) for r in quorum.pipeline(df, F.lit(20), F.lit(9), 3, 4, **k).collect())
+    assert sent() == [(1, 3), (5, 3)] and sent(force=True) == [(1, 3), (2, 1), (5, 3)]
+
+
+def test_logs_do_not_share_indexes(spark):
+    log = spark.createDataFrame([("a", 1, 5, "put", "x"), ("b", 1, 5, "put", "y")], "uid string, idx long, key long, op string, payload string")
+    got = machines.kv_read(machines.kv_state(log, ["uid"]), log).select("uid", "payload").collect()
+    assert sorted(map(tuple, got)) == [("a", "x"), ("b", "y")]
+    wanted = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "uid string, idx long, pos long")
+    assert [r.payload for r in logops.sparse_read(log, wanted).collect()] == ["x"]
+    assert [r.payload for r in logops.sparse_read(log, wanted, "stop").collect()] == ["x"]

@@ -61,6 +61,21 @@ def test_rate(spark, tmp_path):
         assert last[r.key] == pytest.approx(r.value)
 
 
+def test_debounce(spark, tmp_path):
+    log = views.log(spark, SF).select("key", "idx", F.col("ts").cast("timestamp").alias("ts"))
+    got = streamed(spark, tmp_path, log, ["ts", "idx"], lambda s: keyed.debounce(s, 3 * 86_400), "append")
+    want = logops.debounce(log, "key", "ts", 3 * 86_400).collect()
+    assert sorted((r.key, r.idx) for r in got) == sorted((r.key, r.idx) for r in want) and len(want) < log.count()
+
+
+def test_sessions(spark, tmp_path):
+    log = views.log(spark, SF).select("key", F.col("ts").cast("timestamp").alias("ts"))
+    got = streamed(spark, tmp_path, log, "ts", lambda s: keyed.sessions(s, "2 days", "1 second"), "append")
+    want = log.groupBy("key", F.session_window("ts", "2 days").alias("s")).agg(F.count("*").alias("n")).select("key", "s.start", "s.end", "n").collect()
+    closed = {tuple(r) for r in got}
+    assert closed and closed <= {tuple(r) for r in want}  # the last ones are open when the stream ends
+
+
 def test_windows(spark, tmp_path):
     log = views.log(spark, SF).select("key", F.col("ts").cast("timestamp").alias("ts"))
     got = streamed(spark, tmp_path, log, "ts", lambda s: keyed.per_second(s), "update")

@@ -28,7 +28,7 @@ def test_fold(spark, long_log):
     rows = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect()
     assert len(rows) == n
     want = reduce(lambda a, r: (a * 31 + r.user_id) % 1000003, rows, 1)
-    assert [r.value for r in registry.QUERIES["log_fold_whole"](spark, sf).collect()] == [want]
+    assert [r.value for r in registry.QUERIES["log_fold_range"](spark, sf).collect()] == [want]
 
 
 @pytest.mark.parametrize("block", [1, 3, 100])
@@ -42,13 +42,13 @@ def test_bounds_follow_the_log(spark, long_log):
     sf, n = long_log
     rows = lambda name: registry.QUERIES[name](spark, sf)
     top = lambda name, col: rows(name).agg(F.max(col)).first()[0]
-    assert rows("log_truncate_suffix_whole").count() == n * 9 // 10
-    assert rows("log_fold_until_hole_whole").count() == n * 9 // 10 - 1
-    assert rows("log_multi_get_whole").count() == n // 20
-    assert rows("log_prefix_match_whole").count() == n and rows("log_prefix_match_whole").filter("drop").count() == n * 9 // 10
-    assert n // 2 < top("seq_floor_limit_whole", "idx") <= n * 19 // 20 and n // 2 < top("seq_in_range_whole", "hi") <= n * 19 // 20
-    assert top("cluster_scan_whole", "idx") > n // 2
-    assert rows("workload_mix_whole").agg(F.sum("n")).first()[0] == n
+    assert rows("log_truncate_suffix").count() == n * 9 // 10
+    assert rows("log_fold_until_hole").count() == n * 9 // 10 - 1
+    assert rows("log_multi_get").count() == n // 20
+    assert rows("log_prefix_match").count() == n and rows("log_prefix_match").filter("drop").count() == n * 9 // 10
+    assert n // 2 < top("seq_floor_limit", "idx") <= n * 19 // 20 and n // 2 < top("seq_in_range", "hi") <= n * 19 // 20
+    assert top("cluster_scan", "idx") > n // 2
+    assert rows("workload_mix").agg(F.sum("n")).first()[0] == n
 
 
 def test_detect_sort_judges_whole_lists(spark, tmp_path):
@@ -57,7 +57,7 @@ def test_detect_sort_judges_whole_lists(spark, tmp_path):
     rows = [(i, key, v) for i, (key, v) in enumerate(events)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, value double")
     df.withColumns({"ts": F.lit("2024-01-01").cast("timestamp_ntz"), "event_type": F.lit("view"), "props": F.lit("{}")}).write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.key: r.sorted for r in registry.QUERIES["detect_sort_whole"](spark, str(tmp_path)).collect()}
+    got = {r.key: r.sorted for r in registry.QUERIES["detect_sort"](spark, str(tmp_path)).collect()}
     assert got == {4: "unsorted", 8: "descending", 5: "ascending", 6: "undefined", 7: "undefined", 9: "descending"}
     empty = spark.range(1).select(scalars.detect_sort(F.array().cast("array<double>")).alias("s"))
     assert empty.first().s == "undefined"

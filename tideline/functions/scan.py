@@ -29,6 +29,16 @@ def running_sum(df: DataFrame, value: str, out: str, by: list[str], order: str,
     return joined.withColumn(out, F.col("_start") + F.sum(value).over(inside)).drop("_b", "_start")
 
 
+def running_max(df: DataFrame, value: str, out: str, by: list[str], order: str, block: int = BLOCK) -> DataFrame:
+    """Adds ``out``: the greatest ``value`` up to and including each row."""
+    df = df.withColumn("_b", _block(order, block))
+    ahead = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*by, "_b").agg(F.max(value).alias("_m")).withColumn("_start", F.max("_m").over(ahead))
+    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = df.join(tops.drop("_m"), [*by, "_b"])
+    return joined.withColumn(out, F.greatest(F.max(value).over(inside), F.col("_start"))).drop("_b", "_start")
+
+
 def later_min(df: DataFrame, value: str, out: str, by: list[str], order: str, block: int = BLOCK) -> DataFrame:
     """Adds ``out``: the least ``value`` of the rows after each row, null for the last."""
     df = df.withColumn("_b", _block(order, block))

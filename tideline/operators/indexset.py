@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.functions import scan
+
 BLOCK = 1 << 16
 
 
@@ -106,8 +108,8 @@ def remove_prefix(prefix: DataFrame, indexes: DataFrame) -> DataFrame:
 
 def chunk(indexes: DataFrame, size: int) -> DataFrame:
     """``owner, chunk, n, first, last`` of each run of ``size`` indexes, in ascending order."""
-    order = Window.partitionBy("owner").orderBy("idx")
-    numbered = indexes.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+    nth = scan.running_sum(indexes.withColumn("_one", F.lit(1)), "_one", "_n", ["owner"], "idx")
+    numbered = nth.withColumn("chunk", F.floor((F.col("_n") - 1) / size))
     return numbered.groupBy("owner", "chunk").agg(
         F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last")
     )

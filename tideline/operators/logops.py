@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions import scan
+from tideline.functions.ordered import ordered_pass
 from tideline.operators import indexset
 
 
@@ -58,19 +58,22 @@ def contiguous_prefix(log: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def sparse_read(log: DataFrame, wanted: DataFrame, missing: str = "omit") -> DataFrame:
-    """Entries at ``wanted`` (``pos, idx``) with the caller's order in ``pos``.
+    """Entries at ``wanted`` (``pos, idx``) with the caller's order in ``pos``; with a ``uid`` too
+    where there are several logs.
 
     ``missing``: ``omit`` leaves absent indexes out, ``error`` fails, ``stop`` keeps the
     positions before the first absent one.
     """
+    on = ["uid", "idx"] if "uid" in wanted.columns else ["idx"]
     if missing == "omit":
-        return wanted.join(log, "idx")
-    all_of = wanted.join(log.withColumn("_hit", F.lit(True)), "idx", "left")
+        return wanted.join(log, on)
+    all_of = wanted.join(log.withColumn("_hit", F.lit(True)), on, "left")
     if missing == "error":
         absent = F.when(F.col("_hit").isNull(), F.raise_error(F.concat(F.lit("missing index "), F.col("idx").cast("string"))))
         return all_of.withColumn("_hit", F.coalesce("_hit", absent.cast("boolean"))).filter("_hit").drop("_hit")
-    first = all_of.filter("_hit is null").agg(F.min("pos").alias("_stop"))
-    return all_of.crossJoin(F.broadcast(first)).filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))).drop("_hit", "_stop")
+    first = all_of.filter("_hit is null").groupBy(*on[:-1]).agg(F.min("pos").alias("_stop"))
+    stops = all_of.crossJoin(F.broadcast(first)) if len(on) == 1 else all_of.join(first, "uid", "left")  # one row without uid
+    return stops.filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))).drop("_hit", "_stop")
 
 
 def read_plan(wanted: DataFrame, segments: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def prefix_match(batch: DataFrame, log: DataFrame) -> DataFrame:
     )
     rows = batch.join(known, ["uid", "idx"], "left").withColumn("status", status).drop("_known")
     first = rows.filter("status <> 'ok'").groupBy("uid").agg(F.min("idx").alias("_first"))
-    rows = rows.join(F.broadcast(first), "uid", "left") if batch.isLocal() else rows.join(first, "uid", "left")
+    rows = rows.join(first, "uid", "left")
     return rows.withColumn("drop", F.col("_first").isNull() | (F.col("idx") < F.col("_first"))).drop("_first")
 
 
@@ -120,37 +123,33 @@ def gaps(wal: DataFrame) -> DataFrame:
     return wal.withColumn("prev", prev).filter("idx > prev + 1").withColumn("resend_from", F.col("prev") + 1).drop("prev")
 
 
-def admit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Admission of one writer's rows in arrival order: a row is dropped below nothing but
-    refused while an index before it is missing; a refused gap asks once for a resend."""
-    last, out, status = None, False, []
-    for idx in pdf["idx"]:
-        if last is None or idx <= last + 1:
-            last, out = idx, False
-            status.append("accepted")
-        else:
-            status.append("dropped" if out else "resend")
-            out = True
-    pdf["status"] = status
-    return pdf
-
-
-def admission(wal: DataFrame) -> DataFrame:
-    """``uid, idx, term, n, status`` of each row (n counts a writer's rows in arrival order).
-
-    What is admitted depends on the last admitted row, which an ordered fold of a struct
-    carries; a writer's rows are few, and the fold stays in the JVM."""
-    rows = F.array_sort(F.collect_list(F.struct("arrival", "idx", "term")))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(False).alias("out"), F.array().cast("array<string>").alias("st"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a["last"].isNull() | (x["idx"] <= a["last"] + 1)
-        status = F.when(fits, "accepted").when(a["out"], "dropped").otherwise("resend")
-        return F.struct(F.when(fits, x["idx"]).otherwise(a["last"]).alias("last"), (~fits).alias("out"), F.array_append(a["st"], status).alias("st"))
-
-    folded = wal.groupBy("uid").agg(rows.alias("r")).withColumn("st", F.aggregate("r", zero, step)["st"])
-    each = folded.select("uid", F.posexplode(F.arrays_zip("r", "st")).alias("n", "x"))
-    return each.select("uid", F.col("x.r.idx").alias("idx"), F.col("x.r.term").alias("term"), "n", F.col("x.st").alias("status"))
+def admission(wal: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+    """``uid, idx, term, n, status, truncates`` of each row (n counts a writer's rows in
+    arrival order).
+
+    A row names the index that its writer wrote before it (``prev``; one less where there is
+    no such column). A first row is accepted; so is one whose ``prev`` is not beyond the last
+    index taken, and one at the smallest live index of its writer (``floors``: ``uid,
+    smallest``), which ``truncates`` what was there. A row below the smallest live index is
+    ``below``: not written, but the writer counts as in sequence up to there. Else the first
+    gap asks for a ``resend`` and further ones are ``dropped``."""
+    rows = wal if "prev" in wal.columns else wal.withColumn("prev", F.col("idx") - 1)
+    rows = rows.select("uid", "idx", "term", "arrival", "prev")
+    rows = rows.withColumn("smallest", F.lit(0).cast("long")) if floors is None else rows.join(floors.select("uid", "smallest"), "uid", "left")
+    rows = rows.withColumn("smallest", F.coalesce("smallest", F.lit(0).cast("long")))
+
+    def step(state, idx, prev, smallest):
+        last, in_order, n = state
+        if idx < smallest:
+            return (smallest - 1, True, n + 1), (n, "below", False)
+        if last is None or prev <= last or idx == smallest:
+            return (idx, True, n + 1), (n, "accepted", last is not None and idx == smallest)
+        return (last, False, n + 1), (n, "resend" if in_order else "dropped", False)
+
+    out = ordered_pass(
+        rows, ["uid"], ["arrival"], ["idx", "prev", "smallest"], {"n": "int", "status": "string", "truncates": "boolean"}, lambda: (None, True, 0), step
+    )
+    return out.select("uid", "idx", "term", "n", "status", "truncates")
 
 
 def batch_ranges(writes: DataFrame) -> DataFrame:
@@ -158,13 +157,19 @@ def batch_ranges(writes: DataFrame) -> DataFrame:
     return writes.groupBy("batch", "uid", "term").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count("*").alias("n"))
 
 
-def file_numbers(log: DataFrame, size: Column, max_bytes: int, max_entries: int) -> DataFrame:
-    """Deals entries to files by running bytes and counts, whichever fills a file first."""
-    rows = log.withColumns({"_one": F.lit(1), "_size": size.cast("long")})
-    rows = scan.running_sum(rows, "_one", "_n", ["uid"], "idx")
-    rows = scan.running_sum(rows, "_size", "_bytes", ["uid"], "idx")
-    by_bytes, by_count = F.floor((F.col("_bytes") - F.col("_size")) / max_bytes), F.floor((F.col("_n") - 1) / max_entries)
-    return rows.withColumn("file", F.greatest(by_bytes, by_count)).drop("_one", "_size", "_n", "_bytes")
+def file_numbers(log: DataFrame, size: Column, max_bytes: int, max_entries: int | None = None) -> DataFrame:
+    """``uid, idx, file``: entries dealt to files in index order. A file is full when it holds
+    more than ``max_bytes`` or has ``max_entries`` entries; the entry after starts the next
+    one, so a file may overshoot by its last entry, and counts start anew."""
+    rows = log.select("uid", "idx", size.cast("long").alias("_size"))
+
+    def step(state, n_bytes):
+        file, held, n = state
+        if held > max_bytes or max_entries is not None and n + 1 > max_entries:
+            file, held, n = file + 1, 0, 0
+        return (file, held + n_bytes, n + 1), (file,)
+
+    return ordered_pass(rows, ["uid"], ["idx"], ["_size"], {"file": "long"}, lambda: (0, 0, 0), step).drop("_size")
 
 
 def checksum_ok(payload: Column, crc: Column) -> Column:
@@ -194,9 +199,16 @@ def latest_meta(changes: DataFrame) -> DataFrame:
 
 
 def debounce(events: DataFrame, by: str, ts: str, seconds: float) -> DataFrame:
-    """Events at least ``seconds`` after the one before them, and first ones."""
-    before = F.lag(F.unix_micros(ts)).over(Window.partitionBy(by).orderBy(ts, "idx"))
-    return events.withColumn("_d", F.unix_micros(ts) - before).filter(F.col("_d").isNull() | (F.col("_d") >= int(seconds * 1e6))).drop("_d")
+    """Events let through: a key's first one, and each that comes more than ``seconds`` after
+    the last one let through (``ts`` is a timestamp; order is ``ts``, ``idx``)."""
+    rows = events.withColumn("_us", F.unix_micros(ts))
+    window = int(seconds * 1e6)
+
+    def step(last, us):
+        go = last is None or us > last + window
+        return us if go else last, (go,)
+
+    return ordered_pass(rows, [by], [ts, "idx"], ["_us"], {"_go": "boolean"}, lambda: None, step).filter("_go").drop("_us", "_go")
 
 
 def flushable(log: DataFrame, state: DataFrame) -> DataFrame:
@@ -209,31 +221,70 @@ def flushable(log: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def low_priority_batches(commands: DataFrame, size: int = 16) -> DataFrame:
-    """Batch numbers of low-priority commands; normal ones go first within a batch round."""
-    order = Window.partitionBy("uid", "priority").orderBy("idx")
-    n = F.row_number().over(order) - 1
-    return commands.withColumn("batch", F.when(F.col("priority") == "low", F.floor(n / size)).otherwise(n))
+    """``batch`` of low-priority commands, which wait and go ``size`` at a time; null for
+    normal ones, which go at once."""
+    rows = commands.withColumn("_low", (F.col("priority") == "low").cast("int"))
+    rows = scan.running_sum(rows, "_low", "_n", ["uid"], "idx")
+    return rows.withColumn("batch", F.when(F.col("_low") == 1, F.floor((F.col("_n") - 1) / size))).drop("_low", "_n")
 
 
 def recover(wal: DataFrame, registry: DataFrame, floors: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     """What a recovery scan restores: rows of registered writers, at or above the smallest
-    index still live (``floors``: ``uid, smallest``), with a good checksum, after overwrites."""
-    rows = wal.join(registry.select("uid"), "uid", "left_semi").filter(checksum_ok(F.col("payload"), F.col("crc")))
-    rows = rows.join(floors.select("uid", "smallest"), "uid", "left")
+    index still live (``floors``: ``uid, smallest``), after overwrites.
+
+    A bad checksum of a registered writer's row is tolerated at the end of the file only
+    (the greatest ``write_seq``; of each ``file`` where there is that column): there the row is
+    left out. Anywhere else the scan fails."""
+    file = ["file"] if "file" in wal.columns else []
+    good = checksum_ok(F.col("payload"), F.col("crc"))
+    ends = wal.groupBy(*file).agg(F.max("write_seq").alias("_end"))
+    rows = wal.join(registry.select("uid"), "uid", "left_semi").withColumn("_good", good)
+    rows = rows.join(ends, file) if file else rows.crossJoin(F.broadcast(ends))  # one row
+    place = F.concat(F.lit("bad checksum before the end of the file, write_seq "), F.col("write_seq").cast("string"))
+    rows = rows.filter(F.when(F.col("_good"), True).when(F.col("write_seq") == F.col("_end"), False).otherwise(F.raise_error(place).cast("boolean")))
+    rows = rows.drop("_good", "_end").join(floors.select("uid", "smallest"), "uid", "left")
     rows = rows.filter(F.col("smallest").isNull() | (F.col("idx") >= F.col("smallest"))).drop("smallest")
     return visible(rows, block)
 
 
-def insert_status(rows: DataFrame) -> DataFrame:
-    """Adds ``status`` of sparse inserts that name their predecessor (``prev_idx``): ok where it
-    is the writer's row before, overwriting at or below it, else gap_detected."""
-    before = F.lag("idx").over(Window.partitionBy("uid").orderBy("arrival"))
-    status = (
-        F.when(before.isNull() | (F.col("prev_idx") == before), "ok")
-        .when(F.col("idx") <= before, "overwriting")
-        .otherwise("gap_detected")
-    )
-    return rows.withColumn("status", status)
+MEMTABLE_ENTRIES = 1_000_000  # a fixed value: a table takes one entry more than this
+
+
+def insert_status(rows: DataFrame, most: int = MEMTABLE_ENTRIES) -> DataFrame:
+    """Adds ``status`` of sparse inserts that name their predecessor (``prev_idx``).
+
+    An empty table takes anything. Then an index at or below the last one taken is
+    ``overwriting``, whatever it names; one that names another predecessor than that is a
+    ``gap_detected``; a table of more than ``most`` entries answers ``limit_reached``. Refused
+    rows leave the table as it was."""
+
+    def step(state, idx, prev):
+        last, n = state
+        if last is None:
+            return (idx, 1), ("ok",)
+        if idx <= last:
+            return state, ("overwriting",)
+        if prev != last:
+            return state, ("gap_detected",)
+        return (state, ("limit_reached",)) if n > most else ((idx, n + 1), ("ok",))
+
+    return ordered_pass(rows, ["uid"], ["arrival"], ["idx", "prev_idx"], {"status": "string"}, lambda: (None, 0), step)
+
+
+def dense_insert_status(rows: DataFrame, most: int = MEMTABLE_ENTRIES) -> DataFrame:
+    """Adds ``status`` of inserts that must follow on: ``ok`` for the next index or the first
+    of an empty table, ``overwriting``, ``limit_reached``; a hole is ``unexpected_sparse``, on
+    which a writer stops: all its later rows are ``stopped``."""
+
+    def step(state, idx):
+        last, n, stopped = state
+        if stopped:
+            return state, ("stopped",)
+        if last is None or idx == last + 1:
+            return (state, ("limit_reached",)) if n > most else ((idx, n + 1, False), ("ok",))
+        return (state, ("overwriting",)) if idx <= last else ((last, n, True), ("unexpected_sparse",))
+
+    return ordered_pass(rows, ["uid"], ["arrival"], ["idx"], {"status": "string"}, lambda: (None, 0, False), step)
 
 
 def evict(log: DataFrame, flushed: DataFrame) -> DataFrame:

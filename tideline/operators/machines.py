@@ -89,8 +89,10 @@ def kv_state(commands: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def kv_read(state: DataFrame, log: DataFrame) -> DataFrame:
-    """Late materialisation: payloads are fetched only for the pointers that are left."""
-    return state.join(log.drop("key"), "idx")
+    """Late materialisation: payloads are fetched only for the pointers that are left. An
+    index names an entry only within its log: a state of several logs has their ``uid``."""
+    on = ["uid", "idx"] if "uid" in state.columns else ["idx"]
+    return state.join(log.drop("key"), on)
 
 
 def kv_replies(commands: DataFrame) -> DataFrame:

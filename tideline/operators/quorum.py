@@ -64,11 +64,18 @@ def stale(peers: DataFrame, commit_index: Column) -> DataFrame:
     return peers.filter((F.col("status") == "normal") & behind)
 
 
-def pipeline(peers: DataFrame) -> DataFrame:
-    """``cluster, member, in_flight, batch``: entries that may be sent to each peer at once."""
+def pipeline(peers: DataFrame, next_log: Column, commit_index: Column, max_batch: int = MAX_BATCH, max_pipeline: int = MAX_PIPELINE, force: bool = False) -> DataFrame:
+    """``cluster, member, in_flight, batch``: how many entries go to each peer that is sent to.
+
+    Only normal peers that lack entries (below ``next_log``, the log's next index) or the
+    commit index are sent to, and none with ``max_pipeline`` entries in flight unless
+    ``force``, which then sends one."""
     flight = F.col("next_index") - F.col("match_index") - 1
-    batch = F.greatest(F.lit(1), F.least(F.lit(MAX_BATCH), MAX_PIPELINE - flight))
-    return peers.select("cluster", "member", flight.alias("in_flight"), batch.alias("batch"))
+    lacks = (F.col("next_index") < next_log) | (F.col("commit_sent") < commit_index)
+    due = peers.filter((F.col("status") == "normal") & lacks)
+    due = due if force else due.filter(flight < max_pipeline)
+    batch = F.greatest(F.lit(1), F.least(F.lit(max_batch), max_pipeline - flight))
+    return due.select("cluster", "member", flight.alias("in_flight"), batch.alias("batch"))
 
 
 def progress(replies: DataFrame) -> DataFrame:

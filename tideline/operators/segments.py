@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.functions.ordered import ordered_pass
 from tideline.operators import indexset
 
 
@@ -59,29 +60,22 @@ def groups(infos: DataFrame, max_count: int, max_bytes: int) -> DataFrame:
     A segment joins when under half of its entries or bytes are live and the group's
     budgets hold. One that is over budget heads the next group, or is passed over if it
     is over an empty group's; a dense one ends an open group. The choice depends on the
-    order, so it is a fold per log; a log's segments are few.
+    order, so it is one ordered pass over a log's segments.
     """
-    rows = F.array_sort(F.collect_list(F.struct("lo", "segment", "n", "bytes", "n_live", "live_bytes")))
-    out = "array<struct<segment:bigint,grp:bigint>>"
 
-    def state(g: Column, cnt: Column, size: Column, used: Column, done: Column) -> Column:
-        return F.struct(g.alias("g"), cnt.cast("long").alias("cnt"), size.cast("long").alias("size"), used.alias("used"), done.alias("out"))
+    def step(state, n, size, n_live, live_bytes):
+        group, count_left, bytes_left, used = state
+        sparse = n_live / n < 0.5 or live_bytes / size < 0.5
+        if sparse and n_live <= count_left and live_bytes <= bytes_left:
+            return (group, count_left - n_live, bytes_left - live_bytes, True), (group,)
+        if sparse and used and n_live <= max_count and live_bytes <= max_bytes:
+            return (group + 1, max_count - n_live, max_bytes - live_bytes, True), (group + 1,)
+        return (group + used, max_count, max_bytes, False), (None,)
 
-    full_c, full_b, no = F.lit(max_count), F.lit(max_bytes), F.lit(False)
-
-    def step(a: Column, x: Column) -> Column:
-        sparse = (x["n_live"] / x["n"] < 0.5) | (x["live_bytes"] / x["bytes"] < 0.5)
-        fits = (x["n_live"] <= a["cnt"]) & (x["live_bytes"] <= a["size"])
-        alone = (x["n_live"] <= full_c) & (x["live_bytes"] <= full_b)
-        put = lambda g: F.array_append(a["out"], F.struct(x["segment"].cast("long").alias("segment"), g.alias("grp")))
-        joined = state(a["g"], a["cnt"] - x["n_live"], a["size"] - x["live_bytes"], F.lit(True), put(a["g"]))
-        following = state(a["g"] + 1, full_c - x["n_live"], full_b - x["live_bytes"], F.lit(True), put(a["g"] + 1))
-        closed = state(a["g"] + a["used"].cast("long"), full_c, full_b, no, a["out"])
-        return F.when(sparse & fits, joined).when(sparse & a["used"] & alone, following).otherwise(closed)
-
-    start = state(F.lit(1).cast("long"), full_c, full_b, no, F.array().cast(out))
-    folded = infos.groupBy("uid").agg(F.aggregate(rows, start, step)["out"].alias("x"))
-    return folded.select("uid", F.inline("x"))
+    rows = infos.select("uid", "segment", "lo", "n", "bytes", "n_live", "live_bytes")
+    start = lambda: (1, max_count, max_bytes, False)
+    out = ordered_pass(rows, ["uid"], ["lo", "segment"], ["n", "bytes", "n_live", "live_bytes"], {"grp": "long"}, start, step)
+    return out.filter("grp is not null").select("uid", "segment", "grp")
 
 
 def copied(entries: DataFrame, live: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -94,18 +88,13 @@ def copied(entries: DataFrame, live: DataFrame, grouped: DataFrame) -> DataFrame
 def schedule(requests: DataFrame, minors: int) -> DataFrame:
     """``uid, n, kind``: minor requests become major after ``minors`` minors; a request
     without live indexes is a minor one and counts, whatever was asked."""
-    rows = F.array_sort(F.collect_list(F.struct("n", "asked", "live")))
-    zero = F.struct(F.lit(0).alias("c"), F.array().cast("array<struct<n:bigint,kind:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        major = (x["asked"] == "major") | (a["c"] >= minors)
-        kind = F.when(major & x["live"], "major").otherwise("minor")
-        return F.struct(
-            F.when(kind == "major", 0).otherwise(a["c"] + 1).alias("c"),
-            F.array_append(a["out"], F.struct(x["n"].cast("long").alias("n"), kind.alias("kind"))).alias("out"),
-        )
-
-    return requests.groupBy("uid").agg(F.aggregate(rows, zero, step)["out"].alias("x")).select("uid", F.inline("x"))
+
+    def step(minor, asked, live):
+        kind = "major" if (asked == "major" or minor >= minors) and live else "minor"
+        return 0 if kind == "major" else minor + 1, (kind,)
+
+    rows = requests.select("uid", "n", "asked", "live")
+    return ordered_pass(rows, ["uid"], ["n"], ["asked", "live"], {"kind": "string"}, lambda: 0, step).select("uid", "n", "kind")
 
 
 def recovery(files: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions import scan
+from tideline.functions.ordered import ordered_pass
 
 MAX_DIFF = 65_536  # the gap that thinning lets grow to, times a factor
 
@@ -37,14 +38,12 @@ def thin(checkpoints: DataFrame, most: int, max_diff: int = MAX_DIFF) -> DataFra
 
 def schedule(requests: DataFrame, interval: int) -> DataFrame:
     """Requests that are granted: those more than ``interval`` above the last granted one."""
-    rows = F.array_sort(F.collect_list("idx"))
-    zero = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        go = x > a["last"] + interval
-        return F.struct(F.when(go, x).otherwise(a["last"]).alias("last"), F.when(go, F.array_append(a["out"], x)).otherwise(a["out"]).alias("out"))
+    def step(last, idx):
+        go = idx > last + interval
+        return idx if go else last, (go,)
 
-    return requests.groupBy("uid").agg(F.aggregate(rows, zero, step)["out"].alias("o")).select("uid", F.explode("o").alias("idx"))
+    return ordered_pass(requests.select("uid", "idx"), ["uid"], ["idx"], ["idx"], {"_go": "boolean"}, lambda: 0, step).filter("_go").select("uid", "idx")
 
 
 def newest_valid(snapshots: DataFrame) -> DataFrame:
@@ -78,5 +77,6 @@ def query_ready(queries: DataFrame, log: DataFrame, applied: DataFrame) -> DataF
 
 def chunks_to_send(live: DataFrame, last_applied: int, size: int = 16) -> DataFrame:
     """Live indexes that a follower lacks, in chunks."""
-    order = Window.partitionBy("uid").orderBy("idx")
-    return live.filter(F.col("idx") > last_applied).withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+    rows = live.filter(F.col("idx") > last_applied).withColumn("_one", F.lit(1))
+    nth = scan.running_sum(rows, "_one", "_n", ["uid"], "idx")
+    return nth.withColumn("chunk", F.floor((F.col("_n") - 1) / size)).drop("_one", "_n")

@@ -4,37 +4,70 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.functions import scan
 from tideline.operators import logops, machines, metrics
 from tideline.plans import views
 from tideline.plans.machine_queries import _KV, _REPLICAS, _replicas
 from tideline.plans.registry import query
 
 
-@query("""WITH w AS (SELECT * FROM writes WHERE key % 6 <> 5 AND idx >= 300 AND idx % 50 <> 7),
+@query("""WITH e AS (SELECT max(write_seq) AS last FROM writes), w AS (SELECT writes.* FROM writes, e, maxidx WHERE write_seq <> last AND idx >= n // 20),
     v AS (SELECT *, min(idx) OVER (PARTITION BY uid ORDER BY write_seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM w)
     SELECT uid, idx, term, write_seq FROM v WHERE later IS NULL OR later > idx""")
 def wal_recover(spark, sf):
-    """Every fiftieth record is corrupt, keys of one in six belong to no registered writer."""
-    rows = views.writes(spark, sf).filter("key % 6 <> 5").withColumn("payload", F.col("payload").cast("binary"))
-    good = F.crc32("payload")
-    rows = rows.withColumn("crc", F.when(F.col("idx") % 50 == 7, good + 1).otherwise(good))
-    main = spark.range(1).select(F.lit("main").alias("uid"), F.lit(300).cast("long").alias("smallest"))
+    """The last record is torn, and a twentieth of the log is no longer live."""
+    rows = views.writes(spark, sf).withColumn("payload", F.col("payload").cast("binary"))
+    good, end = F.crc32("payload"), F.broadcast(rows.agg(F.max("write_seq").alias("last")))
+    rows = rows.crossJoin(end).withColumn("crc", F.when(F.col("write_seq") == F.col("last"), good + 1).otherwise(good)).drop("last")
+    main = views.max_idx(spark, sf).select(F.lit("main").alias("uid"), F.expr("n div 20").alias("smallest"))
     return logops.recover(rows, main, main).select("uid", "idx", "term", "write_seq")
 
 
-@query("""WITH p AS (SELECT *, lag(idx) OVER (PARTITION BY uid ORDER BY arrival) AS before FROM wal)
-    SELECT uid, idx, term, CASE WHEN before IS NULL OR idx - 1 = before THEN 'ok' WHEN idx <= before THEN 'overwriting' ELSE 'gap_detected' END AS status FROM p""")
+@query("""WITH RECURSIVE s AS (
+    SELECT uid, idx, term, arrival, idx AS last, 'ok' AS status FROM wal WHERE arrival = 1 UNION ALL
+    SELECT w.uid, w.idx, w.term, w.arrival, CASE WHEN w.idx > s.last AND w.idx - 1 = s.last THEN w.idx ELSE s.last END,
+           CASE WHEN w.idx <= s.last THEN 'overwriting' WHEN w.idx - 1 = s.last THEN 'ok' ELSE 'gap_detected' END
+    FROM s JOIN wal w ON w.uid = s.uid AND w.arrival = s.arrival + 1)
+    SELECT uid, idx, term, status FROM s""")
 def memtable_insert(spark, sf):
-    return logops.insert_status(views.wal(spark, sf).withColumn("prev_idx", F.col("idx") - 1)).select("uid", "idx", "term", "status")
+    rows = views.wal(spark, sf).select("uid", "idx", "term", "arrival", (F.col("idx") - 1).alias("prev_idx"))
+    return logops.insert_status(rows).select("uid", "idx", "term", "status")
 
 
-@query("""WITH l AS (SELECT key AS uid, idx FROM log), f AS (SELECT key AS uid, max(idx) - 700 AS t FROM log WHERE key % 9 <> 0 GROUP BY key)
+_LOGS = """logs AS (SELECT 'log_' || key % 40 AS uid, row_number() OVER (PARTITION BY key % 40 ORDER BY idx) AS idx, key, op, payload, idx AS seq FROM log)"""
+
+
+def _logs(spark, sf):
+    """Forty logs in one table, with indexes of their own."""
+    rows = views.log(spark, sf).withColumn("uid", F.concat(F.lit("log_"), F.col("key") % 40))
+    rows = scan.running_sum(rows.withColumn("one", F.lit(1).cast("long")), "one", "n", ["uid"], "idx")
+    return rows.select("uid", F.col("n").alias("idx"), "key", "op", "payload", F.col("idx").alias("seq"))
+
+
+@query(f"""WITH {_LOGS}, kv AS (SELECT uid, key, max(idx) AS idx FROM logs GROUP BY uid, key HAVING arg_max(op, idx) = 'put')
+    SELECT uid, kv.key, idx, payload FROM kv JOIN logs USING (uid, idx)""")
+def kv_get_of_many_logs(spark, sf):
+    logs = _logs(spark, sf)
+    return machines.kv_read(machines.kv_state(logs, ["uid"]), logs.select("uid", "idx", "key", "payload")).select("uid", "key", "idx", "payload")
+
+
+@query(f"""WITH {_LOGS}, w AS (SELECT uid, idx, idx AS pos FROM logs WHERE idx % 3 = 0), j AS (SELECT w.uid, w.pos, w.idx, l.seq FROM w LEFT JOIN
+    (SELECT * FROM logs WHERE seq % 101 <> 0) l USING (uid, idx)), s AS (SELECT uid, min(pos) FILTER (seq IS NULL) AS stop FROM j GROUP BY uid)
+    SELECT uid, pos, idx, seq FROM j JOIN s USING (uid) WHERE stop IS NULL OR pos < stop""")
+def sparse_read_of_many_logs(spark, sf):
+    """Every third index of each log up to the first hole."""
+    logs = _logs(spark, sf)
+    wanted = logs.filter("idx % 3 = 0").select("uid", "idx", F.col("idx").alias("pos"))
+    return logops.sparse_read(logs.filter("seq % 101 <> 0"), wanted, "stop").select("uid", "pos", "idx", "seq")
+
+
+@query("""WITH l AS (SELECT key AS uid, idx FROM log), f AS (SELECT key AS uid, max(idx) - 700 AS t FROM log GROUP BY key)
     SELECT l.uid, count(*) FILTER (coalesce(idx <= t, false)) AS deleted, count(*) FILTER (NOT coalesce(idx <= t, false)) AS kept,
     min(idx) FILTER (NOT coalesce(idx <= t, false)) AS first, count(*) FILTER (coalesce(idx <= t, false)) * 2 > count(*) AS by_range
     FROM l LEFT JOIN f ON l.uid = f.uid GROUP BY l.uid""")
 def memtable_evict(spark, sf):
     rows = views.log(spark, sf).select(F.col("key").alias("uid"), "idx")
-    flushed = rows.filter("uid % 9 <> 0").groupBy("uid").agg((F.max("idx") - 700).alias("flushed_to"))
+    flushed = rows.groupBy("uid").agg((F.max("idx") - 700).alias("flushed_to"))
     return logops.evict(rows, flushed)
 
 
@@ -51,14 +84,6 @@ def parked_queries(spark, sf):
     return logops.parked_until(log.filter("type = 'click'").select("uid", "idx"), log.filter("type = 'error'").select("uid", "idx"), 1024)
 
 
-@query("""WITH r AS (SELECT id, id * 7919 % 100 AS r, 'key_' || (id * 104729 % 10000 + 1) AS key FROM range(0, 5000) t(id))
-    SELECT CASE WHEN r < 68 THEN 'put' WHEN r < 88 THEN 'get' WHEN r < 92 THEN 'snapshot' WHEN r < 94 THEN 'major_compaction'
-    ELSE ['update_almost_all', 'put_many', 'add_member', 'remove_member', 'kill_wal', 'kill_member'][r - 93] END AS op,
-    count(*) AS n, count(DISTINCT key) AS keys FROM r GROUP BY 1""")
-def workload_mix(spark, sf):
-    return machines.workload(spark, 5000).groupBy("op").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
-
-
 @query(f"""WITH {_REPLICAS}, {_KV}, w AS (SELECT member, key, kv.idx AS expected FROM kv, range(1, 4) t(member)),
     d AS (SELECT coalesce(m.member, w.member) AS member, m.idx, expected FROM m FULL JOIN w ON m.member = w.member AND m.key = w.key WHERE m.idx IS DISTINCT FROM expected)
     SELECT member, CASE WHEN idx IS NULL THEN 'missing' WHEN expected IS NULL THEN 'extra' ELSE 'stale' END AS pattern, count(*) AS n FROM d GROUP BY ALL""")

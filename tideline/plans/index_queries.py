@@ -45,23 +45,18 @@ def seq_bounds(spark, sf):
     return indexset.bounds(_puts(spark, sf))
 
 
-@query(f"WITH p AS ({_PUTS}) SELECT owner, idx FROM p WHERE idx >= 100 AND idx <= 900")
-def seq_floor_limit(spark, sf):
-    return indexset.limit(indexset.floor(_puts(spark, sf), 100), 900)
-
-
 @query(f"WITH p AS ({_PUTS}), l AS (SELECT key::VARCHAR AS owner, idx FROM log WHERE type = 'click') SELECT * FROM p EXCEPT SELECT * FROM l")
 def seq_subtract(spark, sf):
     clicks = views.log(spark, sf).filter("type = 'click'").select(F.col("key").cast("string").alias("owner"), "idx")
     return indexset.subtract(_puts(spark, sf), clicks)
 
 
-@query(f"""WITH p AS ({_PUTS}), a AS (SELECT owner, idx FROM p WHERE idx % 7 = 0 AND idx > 300),
+@query(f"""WITH p AS ({_PUTS}), a AS (SELECT owner, idx FROM p WHERE idx % 7 = 0 AND idx > (SELECT n // 4 FROM maxidx)),
     f AS (SELECT owner, min(idx) AS m FROM a GROUP BY owner)
     SELECT p.owner, idx FROM p LEFT JOIN f ON p.owner = f.owner WHERE m IS NULL OR idx < m UNION ALL SELECT * FROM a""")
 def seq_overlay(spark, sf):
     p = _puts(spark, sf)
-    return indexset.overlay(p.filter("idx % 7 = 0 and idx > 300"), p)
+    return indexset.overlay(p.filter("idx % 7 = 0").crossJoin(F.broadcast(views.max_idx(spark, sf))).filter("idx > n div 4").drop("n"), p)
 
 
 @query(f"WITH {_RANGES} SELECT s.uid AS owner, s.idx FROM live s WHERE EXISTS (SELECT 1 FROM r WHERE s.uid = r.owner AND s.idx BETWEEN lo AND hi)")
@@ -70,11 +65,6 @@ def seq_in(spark, sf):
     return indexset.contains(held, indexset.compress(_clicks(spark, sf)))
 
 
-@query(f"WITH {_RANGES} SELECT owner, greatest(lo, 150) AS lo, least(hi, 850) AS hi FROM r WHERE hi >= 150 AND lo <= 850")
-def seq_in_range(spark, sf):
-    return indexset.clip(indexset.compress(_clicks(spark, sf)), 150, 850)
-
-
 @query(f"""WITH {_RANGES} SELECT uid AS owner, lo, hi, segment FROM segments s
     WHERE EXISTS (SELECT 1 FROM r WHERE r.owner = s.uid AND r.hi - r.lo >= 3 AND r.lo <= s.hi AND r.hi >= s.lo)""")
 def seq_has_overlap(spark, sf):
@@ -82,13 +72,14 @@ def seq_has_overlap(spark, sf):
     return indexset.overlapping(views.segments(spark, sf).select(F.col("uid").alias("owner"), "lo", "hi", "segment"), long)
 
 
-@query(f"""WITH p AS ({_PUTS}), x AS (SELECT owner, idx FROM p WHERE idx <= 400 AND (owner::BIGINT % 3 <> 0 OR idx % 5 <> 0)),
+@query(f"""WITH p AS ({_PUTS}), x AS (SELECT owner, idx FROM p WHERE idx <= (SELECT n // 2 FROM maxidx) AND (owner::BIGINT % 3 <> 0 OR idx % 5 <> 0)),
     l AS (SELECT * FROM p EXCEPT SELECT * FROM x), e AS (SELECT owner, max(idx) AS m FROM x GROUP BY owner)
     SELECT l.owner, idx, coalesce(min(idx) OVER (PARTITION BY l.owner) < m, false) AS not_prefix
     FROM l LEFT JOIN e ON l.owner = e.owner""")
 def seq_remove_prefix(spark, sf):
     p = _puts(spark, sf)
-    return indexset.remove_prefix(p.filter("idx <= 400 and (cast(owner as long) % 3 <> 0 or idx % 5 <> 0)"), p)
+    head = p.filter("cast(owner as long) % 3 <> 0 or idx % 5 <> 0").crossJoin(F.broadcast(views.max_idx(spark, sf))).filter("idx <= n div 2").drop("n")
+    return indexset.remove_prefix(head, p)
 
 
 @query(f"""WITH p AS ({_PUTS}), n AS (SELECT owner, idx, (row_number() OVER (PARTITION BY owner ORDER BY idx) - 1) // 16 AS chunk FROM p)

@@ -28,18 +28,6 @@ def term_runs(spark, sf):
     return logops.term_runs(views.log(spark, sf))
 
 
-@query("""SELECT uid, list_reduce(list_prepend(1::BIGINT, list(key ORDER BY idx)), lambda a, x: (a * 31 + x) % 1000003) AS value
-    FROM log WHERE idx BETWEEN 101 AND 900 GROUP BY uid""")
-def log_fold_range(spark, sf):
-    return logops.fold_range(views.log(spark, sf), 101, 900, F.col("key"), F.lit(1).cast("long"), lambda a, x: (a * 31 + x) % 1000003)
-
-
-@query("""WITH h AS (SELECT * FROM log WHERE idx BETWEEN 10 AND 600 AND idx % 211 <> 0),
-    n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY idx) AS k FROM h) SELECT uid, idx, key FROM n WHERE k = idx - 9""")
-def log_fold_until_hole(spark, sf):
-    return logops.contiguous_prefix(views.log(spark, sf).filter("idx % 211 <> 0"), 10, 600).select("uid", "idx", "key")
-
-
 def _wanted(spark, sf):
     """Every 13th index, from the back, with some beyond the end."""
     n = views.max_idx(spark, sf)
@@ -54,14 +42,6 @@ def log_sparse_read(spark, sf):
     return logops.sparse_read(views.log(spark, sf), _wanted(spark, sf)).select("pos", "idx", "term", "key", "payload")
 
 
-@query("""WITH w AS (SELECT i::INT AS pos, 1 + 17 * i AS idx FROM range(0, 80) t(i)), l AS (SELECT * FROM log WHERE idx % 19 <> 0),
-    j AS (SELECT pos, idx, key FROM w LEFT JOIN l USING (idx)), s AS (SELECT min(pos) AS stop FROM j WHERE key IS NULL)
-    SELECT pos, idx, key FROM j, s WHERE stop IS NULL OR pos < stop""")
-def log_multi_get(spark, sf):
-    wanted = spark.range(80).select(F.col("id").cast("int").alias("pos"), (1 + 17 * F.col("id")).alias("idx"))
-    return logops.sparse_read(views.log(spark, sf).filter("idx % 19 <> 0"), wanted, "stop").select("pos", "idx", "key")
-
-
 @query(f"""WITH {_WANTED} SELECT uid, segment, count(*) AS n, min(idx) AS first, max(idx) AS last
     FROM w JOIN segments s ON idx BETWEEN lo AND hi GROUP BY uid, segment""")
 def log_read_plan(spark, sf):
@@ -70,23 +50,11 @@ def log_read_plan(spark, sf):
 
 
 @query("""SELECT c.uid, c.idx + 1 AS idx, coalesce(l.term, k.term) AS term FROM ckpt c
-    LEFT JOIN (SELECT * FROM log WHERE idx > 500) l ON l.idx = c.idx + 1 LEFT JOIN ckpt k ON k.idx = c.idx + 1""")
+    LEFT JOIN (SELECT log.* FROM log, maxidx WHERE idx > n // 20) l ON l.idx = c.idx + 1 LEFT JOIN ckpt k ON k.idx = c.idx + 1""")
 def log_fetch_term(spark, sf):
     ck = views.checkpoints(spark, sf)
-    return logops.fetch_term(ck.select("uid", (F.col("idx") + 1).alias("idx")), views.log(spark, sf).filter("idx > 500"), ck)
-
-
-_BATCH = """b AS (SELECT 'main' AS uid, idx, CASE WHEN idx > 720 THEN term + 1 ELSE term END AS term FROM log WHERE idx BETWEEN 650 AND 800),
-    l AS (SELECT uid, idx, term FROM log WHERE idx <= 760)"""
-
-
-@query(f"""WITH {_BATCH}, s AS (SELECT b.uid, b.idx, b.term, CASE WHEN l.term IS NULL THEN 'missing' WHEN l.term = b.term THEN 'ok'
-    ELSE 'term_mismatch' END AS status FROM b LEFT JOIN l ON b.uid = l.uid AND b.idx = l.idx),
-    f AS (SELECT min(idx) AS m FROM s WHERE status <> 'ok') SELECT uid, idx, term, status, m IS NULL OR idx < m AS drop FROM s, f""")
-def log_prefix_match(spark, sf):
-    rows = views.log(spark, sf).select("uid", "idx", "term")
-    batch = rows.filter("idx between 650 and 800").withColumn("term", F.when(F.col("idx") > 720, F.col("term") + 1).otherwise(F.col("term")))
-    return logops.prefix_match(batch, rows.filter("idx <= 760"))
+    left = views.log(spark, sf).crossJoin(F.broadcast(views.max_idx(spark, sf))).filter("idx > n div 20").drop("n")
+    return logops.fetch_term(ck.select("uid", (F.col("idx") + 1).alias("idx")), left, ck)
 
 
 @query("""SELECT uid, min(idx) AS first_idx, max(idx) AS last_idx, arg_max(term, idx) AS last_term, max(idx) + 1 AS next_idx,
@@ -95,25 +63,30 @@ def log_overview(spark, sf):
     return logops.overview(views.log(spark, sf))
 
 
-@query("SELECT uid, idx, key FROM log WHERE idx <= 700")
-def log_truncate_suffix(spark, sf):
-    return views.log(spark, sf).filter("idx <= 700").select("uid", "idx", "key")
-
-
 @query("""SELECT uid, idx, term, prev + 1 AS resend_from FROM (SELECT *, lag(idx) OVER (PARTITION BY uid ORDER BY arrival) AS prev
     FROM wal) WHERE idx > prev + 1""")
 def wal_gap_detect(spark, sf):
     return logops.gaps(views.wal(spark, sf)).select("uid", "idx", "term", "resend_from")
 
 
-@query("""WITH RECURSIVE s AS (
-    SELECT uid, idx, term, arrival, idx AS last, false AS gap, 'accepted' AS status FROM wal WHERE arrival = 1 UNION ALL
-    SELECT w.uid, w.idx, w.term, w.arrival, CASE WHEN w.idx <= s.last + 1 THEN w.idx ELSE s.last END, w.idx > s.last + 1,
-           CASE WHEN w.idx <= s.last + 1 THEN 'accepted' WHEN s.gap THEN 'dropped' ELSE 'resend' END
-    FROM s JOIN wal w ON w.uid = s.uid AND w.arrival = s.arrival + 1)
-    SELECT uid, idx, term, (arrival - 1)::INT AS n, status FROM s""")
+# Half of the writers write sparsely and name an older predecessor; a fifth has a snapshot.
+_ADMIT = """a AS (SELECT *, idx - 1 - CASE WHEN uid % 2 = 0 AND idx % 3 = 0 THEN 1 ELSE 0 END AS prev, CASE WHEN uid % 5 = 0 THEN 3 ELSE 0 END AS low FROM wal)"""
+
+
+@query(f"""WITH RECURSIVE {_ADMIT}, s AS (
+    SELECT uid, idx, term, arrival, CASE WHEN idx < low THEN low - 1 ELSE idx END AS last, true AS ok,
+           CASE WHEN idx < low THEN 'below' ELSE 'accepted' END AS status, false AS truncates FROM a WHERE arrival = 1 UNION ALL
+    SELECT a.uid, a.idx, a.term, a.arrival,
+           CASE WHEN a.idx < low THEN low - 1 WHEN a.prev <= s.last OR a.idx = low THEN a.idx ELSE s.last END,
+           a.idx < low OR a.prev <= s.last OR a.idx = low,
+           CASE WHEN a.idx < low THEN 'below' WHEN a.prev <= s.last OR a.idx = low THEN 'accepted' WHEN s.ok THEN 'resend' ELSE 'dropped' END,
+           a.idx = low FROM s JOIN a ON a.uid = s.uid AND a.arrival = s.arrival + 1)
+    SELECT uid, idx, term, (arrival - 1)::INT AS n, status, truncates FROM s""")
 def wal_admission(spark, sf):
-    return logops.admission(views.wal(spark, sf))
+    wal = views.wal(spark, sf)
+    sparse = (F.col("uid") % 2 == 0) & (F.col("idx") % 3 == 0)
+    floors = wal.filter("uid % 5 = 0").select("uid").distinct().withColumn("smallest", F.lit(3).cast("long"))
+    return logops.admission(wal.withColumn("prev", F.col("idx") - 1 - sparse.cast("long")), floors)
 
 
 @query("SELECT (idx - 1) // 1000 AS batch, uid, term, min(idx) AS lo, max(idx) AS hi, count(*) AS n FROM writes GROUP BY ALL")
@@ -121,18 +94,22 @@ def wal_batch_ranges(spark, sf):
     return logops.batch_ranges(views.writes(spark, sf).withColumn("batch", F.floor((F.col("idx") - 1) / 1000)))
 
 
-@query("""WITH r AS (SELECT uid, idx, octet_length(encode(payload)) AS b, row_number() OVER (ORDER BY idx) AS k,
-    sum(octet_length(encode(payload))) OVER (ORDER BY idx) AS s FROM log)
-    SELECT uid, idx, greatest((s - b) // 4096, (k - 1) // 128)::BIGINT AS file FROM r""")
+@query("""WITH RECURSIVE r AS (SELECT uid, idx, octet_length(encode(payload)) AS b FROM log),
+    f AS (SELECT uid, idx, b AS held, 1 AS n, 0::BIGINT AS file FROM r WHERE idx = 1 UNION ALL
+    SELECT r.uid, r.idx, CASE WHEN held > 1024 OR n + 1 > 128 THEN b ELSE held + b END, CASE WHEN held > 1024 OR n + 1 > 128 THEN 1 ELSE n + 1 END,
+           CASE WHEN held > 1024 OR n + 1 > 128 THEN file + 1 ELSE file END FROM f JOIN r ON r.uid = f.uid AND r.idx = f.idx + 1)
+    SELECT uid, idx, file FROM f""")
 def wal_roll_files(spark, sf):
-    return logops.file_numbers(views.log(spark, sf), F.octet_length("payload"), 4096, 128).select("uid", "idx", "file")
+    return logops.file_numbers(views.log(spark, sf), F.octet_length("payload"), 1024, 128)
 
 
-@query("SELECT count(*) AS n, count(*) AS ok FROM log")
+@query("""SELECT count(*) AS n, count(*) FILTER (idx % 10 = 0) AS unchecked, count(*) FILTER (idx % 10 = 0 OR idx % 7 <> 0) AS ok FROM log""")
 def wal_checksum(spark, sf):
+    """Every tenth row has no checksum, and of the rest every seventh has another payload's."""
     rows = views.log(spark, sf).withColumn("p", F.col("payload").cast("binary"))
-    rows = rows.withColumn("crc", F.when(F.col("idx") % 10 == 0, 0).otherwise(F.crc32("p")))
-    return rows.agg(F.count("*").alias("n"), F.count_if(logops.checksum_ok(F.col("p"), F.col("crc"))).alias("ok"))
+    damaged = F.when(F.col("idx") % 7 == 0, F.concat(F.col("p"), F.lit("x").cast("binary"))).otherwise(F.col("p"))
+    rows = rows.withColumn("crc", F.when(F.col("idx") % 10 == 0, 0).otherwise(F.crc32(damaged)))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("crc") == 0).alias("unchecked"), F.count_if(logops.checksum_ok(F.col("p"), F.col("crc"))).alias("ok"))
 
 
 @query("SELECT uid, max(idx) AS last_idx, count(*) AS n FROM wal GROUP BY uid")
@@ -154,11 +131,14 @@ def meta_fetch(spark, sf):
     return logops.latest_meta(rows)
 
 
-@query("""SELECT idx, key FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY key ORDER BY ts, idx) AS d FROM log)
-    WHERE d IS NULL OR d >= 20000000""")
+@query("""WITH RECURSIVE q AS (SELECT key, idx, epoch_us(ts) AS us, row_number() OVER (PARTITION BY key ORDER BY ts, idx) AS k FROM log),
+    s AS (SELECT key, idx, k, us AS last, true AS go FROM q WHERE k = 1 UNION ALL
+    SELECT q.key, q.idx, q.k, CASE WHEN us > last + 259200000000 THEN us ELSE last END, us > last + 259200000000
+    FROM s JOIN q ON q.key = s.key AND q.k = s.k + 1) SELECT idx, key FROM s WHERE go""")
 def resend_rate_limit(spark, sf):
-    rows = views.log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return logops.debounce(rows, "key", "ts", 20).select("idx", "key")
+    """At most one resend of a writer in three days, a window that binds on these events."""
+    rows = views.log(spark, sf).select("key", "idx", F.col("ts").cast("timestamp").alias("ts"))
+    return logops.debounce(rows, "key", "ts", 3 * 86_400).select("idx", "key")
 
 
 @query("""SELECT uid, idx FROM log, snapidx WHERE idx > snap OR idx IN (SELECT idx FROM live)""")
@@ -171,7 +151,7 @@ def retention_filter(spark, sf):
 
 @query("""WITH c AS (SELECT uid, idx, CASE WHEN type = 'view' THEN 'low' ELSE 'normal' END AS priority FROM log),
     n AS (SELECT *, row_number() OVER (PARTITION BY uid, priority ORDER BY idx) - 1 AS k FROM c)
-    SELECT uid, idx, priority, CASE WHEN priority = 'low' THEN k // 16 ELSE k END AS batch FROM n""")
+    SELECT uid, idx, priority, CASE WHEN priority = 'low' THEN k // 16 END AS batch FROM n""")
 def low_priority_batches(spark, sf):
     rows = views.log(spark, sf).select("uid", "idx", F.when(F.col("type") == "view", "low").otherwise("normal").alias("priority"))
     return logops.low_priority_batches(rows).select("uid", "idx", "priority", "batch")
@@ -185,17 +165,6 @@ def zpad_names(spark, sf):
     return p.select("id", scalars.zpad_hex(F.col("id")).alias("hex"), "file", scalars.zpad_incr(F.col("file")).alias("next"), scalars.zpad_num(F.col("file")).alias("num"))
 
 
-@query("""WITH l AS (SELECT key, list(amount ORDER BY idx) AS v FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx) AS k FROM log) WHERE k <= key % 4 GROUP BY key),
-    f AS (SELECT key, len(v) AS n, v = list_sort(v) AS up, v = list_reverse_sort(v) AS down FROM l)
-    SELECT key, CASE WHEN n < 2 OR (up AND down) THEN 'undefined' WHEN up THEN 'ascending' WHEN down THEN 'descending' ELSE 'unsorted' END AS sorted FROM f""")
-def detect_sort(spark, sf):
-    from pyspark.sql.window import Window
-
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("idx"))
-    rows = views.log(spark, sf).withColumn("k", nth).filter("k <= key % 4").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", "amount"))).alias("v"))
-    return rows.select("key", scalars.detect_sort(F.transform("v", lambda x: x["amount"])).alias("sorted"))
-
-
 @query("""SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9_=-]', '', 'g'), 1, 6) AS prefix,
     regexp_matches(url, '^[A-Za-z0-9_=-]*$') AS valid FROM pages""")
 def safe_string(spark, sf):

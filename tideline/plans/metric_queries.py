@@ -71,9 +71,9 @@ def conditional_query_ready(spark, sf):
     return snapshots.query_ready(asked, log, F.broadcast(applied))
 
 
-@query("SELECT uid, idx, (row_number() OVER (PARTITION BY uid ORDER BY idx) - 1) // 16 AS chunk FROM live WHERE idx > 500")
+@query("SELECT uid, idx, (row_number() OVER (PARTITION BY uid ORDER BY idx) - 1) // 16 AS chunk FROM live, maxidx WHERE idx > n // 20")
 def snapshot_pre_phase(spark, sf):
-    return snapshots.chunks_to_send(views.live(spark, sf), 500)
+    return snapshots.chunks_to_send(views.live(spark, sf), (views.max_idx(spark, sf).first()["n"] or 0) // 20)
 
 
 _RATE = """SELECT key, round(v, 6) AS value, round(v / 60000000.0 * 1000, 9) AS rate FROM (SELECT key,
@@ -124,11 +124,11 @@ def gauge_latest(spark, sf):
 
 
 @query("""SELECT c_name AS name, c_custkey AS uid, coalesce(s.state, 'undefined') AS state, coalesce(k.snap_idx, -1) AS snap_idx FROM customer
-    LEFT JOIN (SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'leader' ELSE 'follower' END AS state FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1) s ON s.o_custkey = c_custkey
+    LEFT JOIN (SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'leader' ELSE 'follower' END AS state FROM orders GROUP BY 1) s ON s.o_custkey = c_custkey
     LEFT JOIN (SELECT key AS uid, max(idx) AS snap_idx FROM log GROUP BY key) k ON k.uid = c_custkey""")
 def directory_overview(spark, sf):
     c = views.read(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("uid"))
-    o = views.read(spark, sf, "orders").filter("o_custkey % 7 <> 0").groupBy(F.col("o_custkey").alias("uid")).agg(
+    o = views.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("uid")).agg(
         F.when(F.bool_or(F.col("o_orderstatus") == "O"), "leader").otherwise("follower").alias("state")
     )
     states = c.join(o, "uid").select("name", "state")
@@ -168,13 +168,13 @@ _ONCE = """f AS (SELECT producer, seqno, min(arrival) AS arrival FROM fifo GROUP
     x AS (SELECT *, row_number() OVER (PARTITION BY producer ORDER BY seqno) AS n, max(arrival) OVER (PARTITION BY producer ORDER BY seqno) AS enqueued_at FROM f),
     once AS (SELECT producer, seqno, arrival, enqueued_at FROM x WHERE n = seqno)"""
 _EVENTS = """e AS (SELECT producer, seqno, arrival, CASE (producer + arrival) % 4 WHEN 0 THEN 'settle' WHEN 1 THEN 'return' WHEN 2 THEN 'checkout'
-    ELSE 'discard' END AS event FROM fifo WHERE producer % 3 <> 0)"""
+    ELSE 'discard' END AS event FROM fifo)"""
 
 
 def _events(spark, sf):
     k = (F.col("producer") + F.col("arrival")) % 4
     kind = F.when(k == 0, "settle").when(k == 1, "return").when(k == 2, "checkout").otherwise("discard")
-    return views.fifo(spark, sf).filter("producer % 3 <> 0").select("producer", "seqno", "arrival", kind.alias("event"))
+    return views.fifo(spark, sf).select("producer", "seqno", "arrival", kind.alias("event"))
 
 
 @query(f"WITH {_ONCE} SELECT * FROM once")
@@ -203,8 +203,11 @@ def fifo_low_watermark(spark, sf):
 
 
 @query("""WITH o AS (SELECT key AS queue, idx, CASE WHEN type IN ('purchase', 'error') THEN 'deq' ELSE 'enq' END AS op FROM log),
-    k AS (SELECT *, row_number() OVER (PARTITION BY queue, op ORDER BY idx) AS k FROM o)
-    SELECT d.queue, d.idx AS deq_idx, e.idx AS enq_idx FROM k d JOIN k e ON d.queue = e.queue AND d.k = e.k AND d.op = 'deq' AND e.op = 'enq'""")
+    r AS (SELECT queue, list_reduce(list_prepend({'idx': 0::BIGINT, 'op': '', 'held': []::BIGINT[], 'out': []::BIGINT[][]},
+        list({'idx': idx, 'op': op, 'held': []::BIGINT[], 'out': []::BIGINT[][]} ORDER BY idx)),
+        lambda a, x: {'idx': x.idx, 'op': x.op, 'held': CASE WHEN x.op = 'enq' THEN list_append(a.held, x.idx) ELSE a.held[2:] END,
+        'out': CASE WHEN x.op = 'deq' THEN list_append(a.out, [x.idx, a.held[1]]) ELSE a.out END}).out AS out FROM o GROUP BY queue)
+    SELECT queue, p[1] AS deq_idx, p[2] AS enq_idx FROM (SELECT queue, unnest(out) AS p FROM r)""")
 def queue_match(spark, sf):
     op = F.when(F.col("type").isin("purchase", "error"), "deq").otherwise("enq")
     return queues.matched(views.log(spark, sf).select(F.col("key").alias("queue"), "idx", op.alias("op")))

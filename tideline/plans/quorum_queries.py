@@ -23,14 +23,15 @@ def quorum_query_index(spark, sf):
     return quorum.commit_candidates(views.peers(spark, sf), "query_index")
 
 
-_CLUSTERS = "c AS (SELECT r_regionkey::BIGINT AS cluster, (SELECT max(term) FROM log WHERE idx <= 60) - r_regionkey % 2 AS current_term, 3 + r_regionkey AS commit_index FROM region)"
+_CLUSTERS = """c AS (SELECT DISTINCT cluster, (SELECT max(term) FROM log, maxidx WHERE idx <= n // 2) - cluster % 2 AS current_term,
+    3 + cluster % 100 AS commit_index FROM peers)"""
 
 
 def _clusters(spark, sf):
-    term = views.log(spark, sf).filter("idx <= 60").agg(F.max("term").alias("t"))
-    r = views.read(spark, sf, "region").crossJoin(F.broadcast(term))
-    key = F.col("r_regionkey").cast("long")
-    return r.select(key.alias("cluster"), (F.col("t") - key % 2).alias("current_term"), (3 + key).alias("commit_index"))
+    half = views.log(spark, sf).crossJoin(F.broadcast(views.max_idx(spark, sf))).filter("idx <= n div 2")
+    term = half.agg(F.max("term").alias("t"))
+    c = views.peers(spark, sf).select("cluster").distinct().crossJoin(F.broadcast(term))
+    return c.select("cluster", (F.col("t") - F.col("cluster") % 2).alias("current_term"), (3 + F.col("cluster") % 100).alias("commit_index"))
 
 
 @query(f"""WITH {_CAND}, {_CLUSTERS} SELECT k.cluster, CASE WHEN l.term = c.current_term AND candidate > c.commit_index THEN candidate
@@ -44,7 +45,7 @@ def required_quorum(spark, sf):
     return quorum.required(views.peers(spark, sf))
 
 
-_VOTES = """v AS (SELECT key % 5 AS cluster, idx // 40 AS term, key % 3 AS candidate, idx AS seq, type <> 'error' AS granted FROM log)"""
+_VOTES = """v AS (SELECT key % 50 AS cluster, idx // 400 AS term, key % 3 AS candidate, idx AS seq, type <> 'error' AS granted FROM log)"""
 
 
 @query(f"""WITH {_VOTES}, q AS (SELECT cluster, count(*) FILTER (voter) // 2 + 1 AS quorum FROM peers GROUP BY cluster),
@@ -53,7 +54,7 @@ _VOTES = """v AS (SELECT key % 5 AS cluster, idx // 40 AS term, key % 3 AS candi
     GROUP BY cluster, term, candidate HAVING min(CASE WHEN n = quorum THEN seq END) IS NOT NULL""")
 def election_results(spark, sf):
     votes = views.log(spark, sf).select(
-        (F.col("key") % 5).alias("cluster"), F.floor(F.col("idx") / 40).alias("term"), (F.col("key") % 3).alias("candidate"),
+        (F.col("key") % 50).alias("cluster"), F.floor(F.col("idx") / 400).alias("term"), (F.col("key") % 3).alias("candidate"),
         F.col("idx").alias("seq"), (F.col("type") != "error").alias("granted"),
     )
     return quorum.elections(votes, quorum.required(views.peers(spark, sf)).drop("voters"))
@@ -82,9 +83,10 @@ def stale_peers(spark, sf):
     return quorum.stale(views.peers(spark, sf), F.lit(60)).select("cluster", "member")
 
 
-@query("SELECT cluster, member, next_index - match_index - 1 AS in_flight, greatest(1, least(128, 4096 - (next_index - match_index - 1))) AS batch FROM peers")
+@query("""SELECT cluster, member, next_index - match_index - 1 AS in_flight, greatest(1, least(128, 2 - (next_index - match_index - 1))) AS batch
+    FROM peers WHERE status = 'normal' AND (next_index < 150 OR commit_sent < 120) AND next_index - match_index - 1 < 2""")
 def pipeline_window(spark, sf):
-    return quorum.pipeline(views.peers(spark, sf))
+    return quorum.pipeline(views.peers(spark, sf), F.lit(150), F.lit(120), max_pipeline=2)
 
 
 @query("""SELECT uid AS cluster, key AS member, idx AS seq, max(idx) OVER w AS match_index, max(idx + key % 7) OVER w AS next_index FROM log
@@ -111,12 +113,6 @@ def membership_history(spark, sf):
     return quorum.membership_history(changes)
 
 
-@query("SELECT uid, arg_max(key, idx) AS members, max(idx) AS idx FROM log WHERE type = 'error' AND idx <= 900 GROUP BY uid")
-def cluster_scan(spark, sf):
-    changes = views.log(spark, sf).filter("type = 'error'").select("uid", "idx", F.col("key").alias("members"))
-    return quorum.current_membership(changes, 900)
-
-
 @query("""WITH c AS (SELECT cluster, query_index AS candidate FROM (SELECT cluster, query_index, count(*) OVER (PARTITION BY cluster) AS n,
     row_number() OVER (PARTITION BY cluster ORDER BY query_index DESC, member) AS r FROM peers WHERE voter) WHERE r = n // 2 + 1)
     SELECT q.cluster, q.idx FROM (SELECT key % 5 AS cluster, idx, idx % 17 AS query_index FROM log) q JOIN c ON c.cluster = q.cluster WHERE q.query_index <= candidate""")

@@ -33,9 +33,11 @@ def segment_info(spark, sf):
     return _info(spark, sf)
 
 
-@query("SELECT uid, segment, greatest(lo, 300) AS lo, least(hi, 777) AS hi FROM segments WHERE hi >= 300 AND lo <= 777")
+@query("""SELECT uid, segment, greatest(lo, x.n // 10) AS lo, least(hi, x.n * 9 // 10) AS hi FROM segments, maxidx x
+    WHERE hi >= x.n // 10 AND lo <= x.n * 9 // 10""")
 def segment_prune(spark, sf):
-    return segments.slices(views.segments(spark, sf).select("uid", "segment", "lo", "hi"), 300, 777)
+    n = views.max_idx(spark, sf).first()["n"] or 0
+    return segments.slices(views.segments(spark, sf).select("uid", "segment", "lo", "hi"), n // 10, n * 9 // 10)
 
 
 _REFS = "r AS (SELECT uid, write_seq // 512 AS seq, write_seq // 512 AS segment, min(idx) AS lo, max(idx) AS hi FROM writes GROUP BY ALL)"

@@ -91,19 +91,19 @@ def wal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peers(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("m"), F.sum(F.floor("c_acctbal").cast("long")).alias("bal"))
-    j = read(spark, sf, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    m = F.coalesce("m", F.lit(0).cast("long"))
-    return j.select(
-        F.col("n_regionkey").cast("long").alias("cluster"),
-        F.col("n_nationkey").cast("long").alias("member"),
+    """Customers, five to a cluster, with positions from their balances."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.pmod(F.floor("c_acctbal").cast("long"), F.lit(200)).alias("m"))
+    k, m = F.col("k"), F.col("m")
+    return c.select(
+        F.floor(k / 5).cast("long").alias("cluster"),
+        k.alias("member"),
         m.alias("match_index"),
-        (m + 1 + F.col("n_nationkey") % 3).cast("long").alias("next_index"),
+        (m + 1 + k % 3).alias("next_index"),
         (m % 17).alias("query_index"),
-        (m - F.col("n_nationkey") % 2).cast("long").alias("commit_sent"),
-        (F.col("n_nationkey") >= 5).alias("voter"),
-        F.when(F.col("n_nationkey") % 7 == 3, "suspended").otherwise("normal").alias("status"),
-        F.when(F.col("n_nationkey") != 11, 1 + F.col("n_nationkey") % 3).cast("int").alias("machine_version"),
+        (m - k % 2).alias("commit_sent"),
+        (k % 5 != 4).alias("voter"),
+        F.when(k % 7 == 3, "suspended").otherwise("normal").alias("status"),
+        F.when(k % 11 != 0, 1 + k % 3).cast("int").alias("machine_version"),
     )
 
 
@@ -138,12 +138,10 @@ CTES = {
     "wal": """SELECT l_orderkey AS uid, l_linenumber::BIGINT AS idx, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS term,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber, l_quantity,
         l_extendedprice, l_discount, l_tax) AS arrival, l_quantity AS amount FROM lineitem""",
-    "peers": """SELECT n_regionkey::BIGINT AS cluster, n_nationkey::BIGINT AS member, coalesce(m, 0) AS match_index,
-        (coalesce(m, 0) + 1 + n_nationkey % 3)::BIGINT AS next_index, coalesce(m, 0) % 17 AS query_index,
-        (coalesce(m, 0) - n_nationkey % 2)::BIGINT AS commit_sent, n_nationkey >= 5 AS voter,
-        CASE WHEN n_nationkey % 7 = 3 THEN 'suspended' ELSE 'normal' END AS status,
-        CASE WHEN n_nationkey <> 11 THEN (1 + n_nationkey % 3)::INT END AS machine_version
-        FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS m FROM customer GROUP BY 1) ON n_nationkey = c_nationkey""",
+    "peers": """SELECT k // 5 AS cluster, k AS member, m AS match_index, m + 1 + k % 3 AS next_index, m % 17 AS query_index,
+        m - k % 2 AS commit_sent, k % 5 <> 4 AS voter, CASE WHEN k % 7 = 3 THEN 'suspended' ELSE 'normal' END AS status,
+        CASE WHEN k % 11 <> 0 THEN (1 + k % 3)::INT END AS machine_version
+        FROM (SELECT c_custkey::BIGINT AS k, ((floor(c_acctbal)::BIGINT % 200) + 200) % 200 AS m FROM customer)""",
     "fifo": """SELECT conv_id AS producer, (turn + 1)::BIGINT AS seqno, role, text,
         ((turn + 1) * 10 + CASE WHEN (turn + 1) % 4 = 0 THEN 15 ELSE 0 END)::BIGINT AS arrival FROM conversations UNION ALL
         SELECT conv_id, turn + 1, role, text, ((turn + 1) * 10 + CASE WHEN (turn + 1) % 4 = 0 THEN 15 ELSE 0 END + 25)::BIGINT

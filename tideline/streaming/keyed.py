@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _all(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
+def _all(frames: Iterator[pd.DataFrame], order: str | list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
 
 
@@ -92,24 +92,21 @@ def leaky_rate(events: DataFrame, tau_ms: float) -> DataFrame:
 
 
 def debounce(events: DataFrame, seconds: int) -> DataFrame:
-    """Rows of ``key, idx, ts`` at least ``seconds`` after the last one let through (the
-    rate limit of resends); state of a key that stays quiet expires."""
+    """Rows of ``key, idx, ts`` more than ``seconds`` after the last one let through (the
+    rate limit of resends), as :func:`tideline.operators.logops.debounce` gives them for rows
+    that arrive in order. A key's state stays, as only event time decides."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
-        rows, keep = _all(frames, "idx"), []
-        for ms in rows["ts"].astype("datetime64[ms]").astype("int64"):
-            keep.append(last is None or ms - last >= seconds * 1000)
-            last = int(ms) if keep[-1] else last
+        rows, keep = _all(frames, ["ts", "idx"]), []
+        for us in rows["ts"].astype("datetime64[us]").astype("int64"):
+            keep.append(last is None or us > last + seconds * 1_000_000)
+            last = int(us) if keep[-1] else last
         state.update((last,))
-        state.setTimeoutDuration(2 * seconds * 1000)
         yield pd.DataFrame({"key": key[0], "idx": rows["idx"][keep], "ts": rows["ts"][keep]})
 
     return events.groupBy("key").applyInPandasWithState(
-        step, "key long, idx long, ts timestamp", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "key long, idx long, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout
     )
 
 
