@@ -115,7 +115,33 @@ def sorted_suffix_repeats(streams, least):
     return covered
 
 
-def test_repeats_are_those_of_sorted_suffixes(spark):
+def test_long_pages_with_repeats_inside_and_outside_articles(spark):
+    rng = random.Random(5)
+    own = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    menu, quote, long = own(30), own(40), own(3000)
+    rows, want = [], {}
+    for i in range(4):
+        mine = own(20_000)
+        rows.append((i, f"http://a.example/{i}", f"<div>{menu}</div><article><p>{quote}</p><p>{mine}</p></article><div>{long}</div>"))
+        want[i] = f"{quote}\n{mine}", 31 + 3001
+    mine = own(20_000)
+    rows.append((9, "http://a.example/9", f"<div>{menu}</div><p>{mine}</p><p>{long} {mine[:50]}</p>"))
+    want[9] = f"{mine}\n{mine[:50]}", 31 + 3000
+    got = {r.page_id: (r.text, r.n_repeated) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9][0] == want[9][0] and all(got[i] == want[i] for i in range(4))
+
+
+def test_repeat_lengths_of_the_order(spark):
+    streams = [("u1", "h", b"1", "a b c d e f g x1 x2".split()), ("u2", "h", b"2", "y1 a b c d e f g y2".split()), ("u3", "h", b"3", "a b c d e f z1".split()), ("u4", "g", b"4", "a b c d e f g".split())]
+    rows = [(u, h, k, t, [html_text._gram(t[i : i + 6]) for i in range(len(t) - 5)]) for u, h, k, t in streams]
+    df = spark.createDataFrame(rows, "url string, host string, _key binary, tokens array<string>, grams array<long>")
+    got = {bytes(r._key): sorted((x.s, x.e) for x in r.spans) for r in html_text.repeated_spans(df).collect()}
+    assert got == {b"1": [(0, 7), (1, 7)], b"2": [(1, 8), (2, 8)], b"3": [(0, 6)]}
+
+
+@pytest.mark.parametrize("depth", [48, 7])
+def test_repeats_are_those_of_sorted_suffixes(spark, depth, monkeypatch):
+    monkeypatch.setattr(html_text, "DEPTH", depth)
     rng = random.Random(4)
     common = [" ".join(rng.choice("abc") for _ in range(n)) for n in (4, 6, 9, 14)]
     pages = {i: [rng.choice(common) if rng.random() < 0.5 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(5)] for i in range(20)}
