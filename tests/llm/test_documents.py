@@ -154,6 +154,54 @@ def test_shingle_and_radius(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(df, radius=radius, shingle=5).collect()} == {i for i, c in want.items() if i == c}
 
 
+def plain_shingles(text, n):
+    words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def similar_texts(rng):
+    """Bases with copies in which some words differ, on either side of a similarity of 0.8."""
+    texts = []
+    for n in [3, 6, 12, 40, 40, 150, 150, 400, 2000]:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05, 0.2):
+            copy = list(base)
+            for i in rng.sample(range(n), max(1, round(n * share))):
+                copy[i] = rng.choice(["changed", "", copy[i].upper(), f"v{rng.randint(0, 10**6)}"])
+            texts.append("  ".join(w for w in copy if w))
+    return texts
+
+
+def test_similar_groups(spark, docs, empty):
+    rng = random.Random(11)
+    rows = [*enumerate(similar_texts(rng)), (500, None), (501, ""), (502, " "), (None, "no id"), (503, "a b c"), (503, "a b c")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit("x"), "id": F.lit(1), "root": F.lit(2), "keys": F.lit(3)}).repartition(4)
+    sets = {i: plain_shingles(t or "", 5) for i, t in rows if i is not None}
+    fps = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in rows if i is not None}
+    alike = [(a, b) for a in sets for b in sets if a < b and plain_jaccard(sets[a], sets[b]) >= 0.8]
+    want = components(sets, alike + [(a, b) for a in sets for b in sets if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert got == want and len(alike) > 20 and len(set(want.values())) > 15
+    kept = Counter(r.doc_id for r in simhash.drop_near_copies(df, shingle=5, similarity=0.8).collect())
+    assert kept == Counter(i for i, _ in rows if i is None or want[i] == i)
+    assert simhash.drop_near_copies(docs, shingle=5, similarity=0.8).columns == docs.columns
+    assert simhash.similar_groups(empty).count() == 0
+
+
+def test_a_large_group_of_similar_texts(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])) for i in range(3000) for at in [rng.randrange(120)]]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 3000 and {r.component_id for r in got} == {0}
+
+
 def test_vantage_shards_lose_no_pair(spark):
     rng = np.random.default_rng(2)
     far = rng.integers(0, 2**63, 3000, dtype=np.uint64)

@@ -5,13 +5,14 @@ from collections import defaultdict
 import corpus_pipeline as p
 from pyspark.sql import functions as F
 
-from tests.llm.test_documents import SCHEMA, components, plain_fingerprint, plain_spans
+from tests.llm.test_documents import SCHEMA, components, plain_jaccard, plain_shingles, plain_spans
+from tideline.llm import simhash
 
 
 def test_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = [(5000, None, "en", "s", 0), (5001, "123 456", "en", "s", 7), (5002, "", None, None, None)]
-    docs = docs.unionByName(spark.createDataFrame(odd, SCHEMA)).withColumn("score", F.lit(1)).repartition(2)
+    docs = docs.unionByName(spark.createDataFrame(odd, SCHEMA)).unionByName(docs.limit(3)).withColumn("score", F.lit(1)).repartition(2)
     sizes = []
     for name, stage in p.STAGES[:-1]:
         docs = stage(spark, docs, "")
@@ -24,9 +25,11 @@ def test_stages(spark):
     for r in first.values():
         groups[r.text].append(r.doc_id)
     assert set(exact) == {max(v) for v in groups.values()}
-    fps = {i: plain_fingerprint(r.text) for i, r in exact.items()}
-    comp = components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
-    assert set(near) == {i for i, c in comp.items() if i == c}
+    sets = {i: plain_shingles(r.text, 5) for i, r in exact.items()}
+    fps = {i: simhash.fingerprint(r.text.encode(), 5) for i, r in exact.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and (plain_jaccard(sets[a], sets[b]) >= 0.8 or (fps[a] ^ fps[b]).bit_count() <= 2)]
+    comp = components(sets, links)
+    assert set(near) == {i for i, c in comp.items() if i == c} and len(near) < len(exact)
     assert set(masked) == set(near)
     for i, r in masked.items():
         assert not plain_spans(r.text) and r.n_chars == (len(r.text) if r.text != near[i].text else near[i].n_chars)

@@ -47,7 +47,7 @@ def _numpy(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], match: Callable) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], match: Callable, link: Callable | None) -> Iterator[pa.RecordBatch]:
     key, ids, weights, held = None, [], [], []
     block = None
     for batch in batches:
@@ -74,7 +74,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], match: Callable) -> Iterator[pa.Re
             qi, hj = match(b"".join(payload[lo:hi]), h)
             links = np.bincount(qi, weights=h_w[hj], minlength=hi - lo).astype(np.int64)
             some = np.flatnonzero(links)
-            nodes, roots = forest(q_ids, h_ids, qi, hj)
+            nodes, roots = link(q_ids, h_ids, qi, hj, b"".join(payload[lo:hi]), h) if link else forest(q_ids, h_ids, qi, hj)
             none = pa.nulls(len(nodes), pa.int64()), pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -86,13 +86,15 @@ def _tiles(batches: Iterator[pa.RecordBatch], match: Callable) -> Iterator[pa.Re
             )
 
 
-def bucket_join(rows: DataFrame, counts: DataFrame, match: Callable, tile: int = TILE, probes: int = PROBES) -> DataFrame:
+def bucket_join(rows: DataFrame, counts: DataFrame, match: Callable, tile: int = TILE, probes: int = PROBES, link: Callable | None = None) -> DataFrame:
     """``id, links, root``: what probing rows matched (``links``, a sum of stored
     weights, ``root`` null) and forest edges ``id - root`` (``links`` null).
 
     ``rows``: ``bucket long, role int (0 stored, 1 probing), id long, w long,
     payload binary``. ``counts``: ``bucket, stored, probing`` of the same rows.
-    ``match(probing bytes, stored bytes)`` gives index arrays of the matches.
+    ``match(probing bytes, stored bytes)`` gives index arrays of the matches. ``link(probing
+    ids, stored ids, indexes of matches, probing bytes, stored bytes)`` may give other edges
+    than those of the forest, a bounded number per row.
     """
     hot = counts.filter((F.col("stored") > tile) | (F.col("probing") > probes)).select(
         "bucket",
@@ -120,4 +122,4 @@ def bucket_join(rows: DataFrame, counts: DataFrame, match: Callable, tile: int =
         "payload",
     )
     placed = at.repartition(partitions(rows.sparkSession), "bucket", "t", "s").sortWithinPartitions("bucket", "t", "s", "role")
-    return placed.mapInArrow(lambda it: _tiles(it, match), SCHEMA)
+    return placed.mapInArrow(lambda it: _tiles(it, match, link), SCHEMA)

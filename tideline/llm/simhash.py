@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bucket_join import bucket_join
-from tideline.llm.common import drop_rows, id_and_text, materialize
+from tideline.llm.common import drop_rows, few, id_and_text, materialize
 from tideline.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -30,30 +30,45 @@ SHARD = 2048  # distinct fingerprints a shard is meant to hold
 SAMPLE = 1 << 15  # fingerprints, at most, from which the tree is grown
 _BITS = np.arange(64, dtype=np.uint64)
 _BLOCK = 1 << 15  # shingles counted at once
+# For texts of a given similarity: each key is made from the least shingles under KEY_SHINGLES
+# orders, so texts of Jaccard similarity j share one of KEYS with 1 - (1 - j**KEY_SHINGLES)**KEYS.
+KEYS, KEY_SHINGLES = 16, 4
+REACH = 20  # bits by which fingerprints of such texts differ at most, give or take one in 1e4
+_ORDERS = np.random.default_rng(17).integers(1, 2**63, KEYS * KEY_SHINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' XXH64 values.
+def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, some at a time; nothing for a text without words.
 
     ``bytes.lower`` and ``bytes.split`` touch A-Z and split at space, tab to
     carriage return and nothing else.
     """
-    words = text.lower().split()
+    words, digest = text.lower().split(), xxhash.xxh64_intdigest
     if not words:
-        return 0
+        return
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest = xxhash.xxh64_intdigest
+        yield np.array([digest(b" ".join(words), SEED)], dtype="<u8")
+        return
     n = len(words) - shingle + 1
-    ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, n, _BLOCK):
         part = words[lo : lo + _BLOCK + shingle - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(shingle))))
-        h = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+        yield np.array([digest(g, SEED) for g in grams], dtype="<u8")
+
+
+def _majority(blocks: list[np.ndarray]) -> int:
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.bitwise_or.reduce(np.where(2 * ones > n, np.uint64(1) << _BITS, np.uint64(0))))
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Bit i is 1 if it is set in over half of the shingles' XXH64 values."""
+    return _majority(_hashes(text, shingle))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary() if pa.types.is_string(batch.column(1).type) else pa.large_binary())
@@ -194,12 +209,107 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component.
+def _signature(text: bytes, shingle: int) -> tuple[int, list[int]]:
+    """Fingerprint, and the keys that similar texts are likely to share."""
+    blocks = list(_hashes(text, shingle))
+    if not blocks:
+        return 0, []
+    low = np.full(len(_ORDERS), np.iinfo(np.uint64).max)
+    for h in blocks:
+        for lo in range(0, len(h), 512):
+            low = np.minimum(low, (h[lo : lo + 512, None] * _ORDERS).min(0))
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(low.reshape(KEYS, KEY_SHINGLES))]
+    return _majority(blocks), keys
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary() if pa.types.is_string(batch.column(1).type) else pa.large_binary())
+        found = [_signature(t.as_py(), shingle) for t in texts]
+        fps = np.array([f for f, _ in found], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([k for _, k in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+
+
+def _nearest(q_ids: np.ndarray, h_ids: np.ndarray, qi: np.ndarray, hi: np.ndarray, q: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of each probing row the match with the fewest differing bits and that of the smallest id."""
+    other = q_ids[qi] != h_ids[hi]
+    qi, hi = qi[other], hi[other]
+    bits = np.bitwise_count(np.frombuffer(q, dtype="<u8")[qi] ^ np.frombuffer(h, dtype="<u8")[hi])
+    pairs = []
+    for order in (np.lexsort((h_ids[hi], bits, qi)), np.lexsort((h_ids[hi], qi))):
+        first = order[np.flatnonzero(np.concatenate([[True], np.diff(qi[order]) != 0]))] if len(order) else order
+        pairs.append(np.stack([q_ids[qi[first]], h_ids[hi[first]]]))
+    a, b = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+    return b, a
+
+
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    """Similarity of the sets of shingles; texts without words are alike."""
+    x, y = (np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *_hashes(t, shingle)])) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def similar_pairs(sig: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``id, root``: pairs of documents, of different fingerprints, whose sets of shingles have a
+    Jaccard similarity of ``similarity`` or more. Texts that share a key and differ in ``REACH``
+    bits at most are candidates; of each one's candidates under a key the nearest and the
+    one of the smallest id are compared by their texts."""
+    reps = sig.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"))
+    each = materialize(reps.select("id", "fp", F.explode("keys").alias("bucket")))
+    crowd = materialize(each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    held = each.join(F.broadcast(crowd.select("bucket")) if few(crowd) else crowd.select("bucket"), "bucket")
+    role = F.explode(F.array(F.lit(0), F.lit(1))).alias("role")
+    # Bytes in another order differ in as many bits.
+    rows = held.select("bucket", role, "id", F.lit(1).cast("long").alias("w"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("payload"))
+    counts = crowd.select("bucket", F.col("n").alias("stored"), F.col("n").alias("probing"))
+    pairs = bucket_join(rows, counts, _close(REACH), link=_nearest).filter("root is not null").select("id", "root").distinct()
+    pairs = materialize(pairs)
+    ids = pairs.select(F.explode(F.array("id", "root")).alias("doc_id")).distinct()
+    texts = docs.join(materialize(ids), "doc_id", "left_semi")
+    both = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("a")), "id")
+    both = both.join(texts.select(F.col("doc_id").alias("root"), F.col("text").alias("b")), "root").select("id", "root", "a", "b")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k) for k in (2, 3))
+            good = [jaccard(x.as_py().encode(), y.as_py().encode(), shingle) >= similarity for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "root"]).filter(pa.array(good, pa.bool_()))
+
+    return materialize(both.mapInArrow(verified, "id long, root long").distinct())
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, component_id``: groups of documents linked by fingerprints within ``radius`` bits,
+    through the vantage-point tree, or by a Jaccard similarity of ``similarity`` or more.
+
+    At 0.8 fingerprints are some 3 to 17 bits apart. No bound on distances prunes a tree of
+    64 bits there, so those pairs come from shared keys (see ``KEYS``; at 0.8 a pair shares none
+    with 2e-4) and are verified by their texts. Null texts count as empty, texts without words are
+    alike, rows without an id have no group. Empty in, empty out.
+    """
+    rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
+    sig = materialize(rows.mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, fp long, keys array<long>"))
+    near = sig.select("doc_id", "fp").join(materialize(near_duplicates(sig.select("doc_id", "fp"), radius)), "fp")
+    links = near.select(F.col("doc_id").alias("id"), F.col("component_id").alias("root"))
+    links = materialize(links.unionByName(similar_pairs(sig, rows, shingle, similarity)))
+    found = connected_components(links.filter("id != root"), "id", "root").withColumnRenamed("node", "doc_id")
+    alone = sig.select("doc_id").distinct().join(found.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("component").alias("component_id")).unionByName(alone)
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None
+) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each component: of
+    :func:`simhash_components`, or with ``similarity`` of :func:`similar_groups`.
 
     Rows without an id are exempt: all of them stay, copies among them included, as does
     each row repeated under a kept id.
     """
-    groups = simhash_components(docs, id_col, text_col, radius, shingle).filter("doc_id != component_id")
-    dropped = materialize(groups.select(F.col("doc_id").alias("_id")).distinct())
-    return drop_rows(docs.withColumn("_id", F.col(id_col).cast("long")), dropped, ["_id"]).drop("_id")
+    if similarity is None:
+        groups = simhash_components(docs, id_col, text_col, radius, shingle)
+    else:
+        groups = similar_groups(docs, id_col, text_col, shingle, similarity, radius)
+    dropped = materialize(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct())
+    return drop_rows(docs.withColumn("__id", F.col(id_col).cast("long")), dropped, ["__id"]).select(*docs.columns)
