@@ -309,6 +309,18 @@ def test_bpe(docs, empty, spark):
     assert bpe.decode_ids(encoded, VOCABULARY).first().text == t.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("block", [*range(0, 0x20000, 0x4000), 0xE0000])
+def test_bpe_every_code_point(block):
+    """Alone, inside a word, after a capital and before a combining mark."""
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(VOCABULARY), bpe.load(VOCABULARY)
+    points = [chr(c) for c in range(block, block + 0x4000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 512):
+        s = "".join(f"{c} a{c}b A{c} {c}\u0301e\n" for c in points[lo : lo + 512])
+        assert np.frombuffer(own.encode(s), dtype="<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+
+
 def test_bpe_random_strings():
     from tokenizers import Tokenizer
 

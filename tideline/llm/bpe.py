@@ -4,15 +4,16 @@ The longest tokens starting at each place of a word come from one Aho-Corasick
 pass. The encoder takes the longest token that is compatible with the token
 before it (merging the two token strings would split at the same place),
 shortens it or backs up where none is, and never visits a dead place twice:
-the merges that a rank-ordered merge loop would make, in linear time. Decoding
-gathers token bytes through an offset table.
+the merges that a rank-ordered merge loop would make, in linear time; the rule is the
+published one for tables of compatible token pairs. Decoding gathers token bytes through
+an offset table. Case, composition and letter classes of text beyond ASCII are taken from
+the tokenizer file's own normalizer and splitter, as Unicode versions differ in them.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tideline.llm.common import id_and_text
 
@@ -136,6 +138,8 @@ class WordBpe:
             {self._symbols(s): i for s, i in model["vocab"].items()},
             [(self._symbols(a), self._symbols(b)) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])],
         )
+        whole = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -156,13 +160,16 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space."""
-        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # no final sigma
+        if chunk.isascii():
+            words = ["".join([self.bytes[b] for b in w.encode()]) for w in self.pattern.findall(chunk.lower())]
+        else:
+            words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
         out = []
-        for word in self.pattern.findall(chunk):
+        for word in words:
             ids = self.words.get(word)
             if ids is None:
-                s = "".join([self.bytes[b] for b in word.encode()])
-                ids = struct.pack("<%dI" % len(got := self.encoder.encode(s[:-1] + chr(ord(s[-1]) + _END))), *got)
+                got = self.encoder.encode(word[:-1] + chr(ord(word[-1]) + _END))
+                ids = struct.pack("<%dI" % len(got), *got)
                 if len(self.words) >= MEMO:
                     self.words.clear()
                 if len(word) < 64:
