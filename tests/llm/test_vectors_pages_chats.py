@@ -52,19 +52,40 @@ def test_embeddings(spark, tile, monkeypatch):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_filter_decoding_is_exhaustive():
-    code = embedding.ProductCode(24, 7, 0.95)
-    rng = np.random.default_rng(1)
-    x = embedding._unit(rng.standard_normal((50, 24)))
-    best, row, at = code.decode(x)
-    turned = x @ code.turn
-    directions = np.array([np.concatenate([a, b]) for a in code.codes[0] for b in code.codes[1]])
-    score = turned @ directions.T
-    assert (score.argmax(1) == best).all()
-    gap = score.max(1)[:, None] - score
-    apart = np.linalg.norm(directions[best][:, None] - directions[None], axis=2)
-    want = {(i, j) for i, j in zip(*np.nonzero(gap <= code.spread * apart + 1e-12))}
-    assert set(zip(row.tolist(), at.tolist())) == {(int(i), int(j)) for i, j in want}
+@pytest.mark.parametrize("dim,codes", [(24, 7), (24, 2), (1, 3), (5, 40)])
+def test_filter_decoding_is_exhaustive(dim, codes):
+    code = embedding.ProductCode(dim, codes)
+    x = embedding._unit(np.random.default_rng(1).standard_normal((50, dim)))
+    got, turned = code.decode(x), x @ code.turn
+    first = turned[:, : code.half] @ code.codes[0].T
+    second = turned[:, code.half :] @ code.codes[1].T if dim > 1 else np.zeros((50, 1))
+    score = (first[:, :, None] + second[:, None, :]).reshape(50, -1)
+    assert got.shape[1] == min(embedding.LISTED, score.shape[1])
+    for i in range(50):
+        assert len(set(got[i])) == len(got[i]) and np.allclose(np.sort(score[i][got[i]]), np.sort(score[i])[-len(got[i]) :])
+
+
+def test_pairs_are_met_once():
+    rng = np.random.default_rng(3)
+    for n, most in ((40, 12), (300, 2000)):
+        q, h = rng.integers(-1, most, (n, 6)), rng.integers(-1, most, (n, 6))
+        a, b = (x.ravel() for x in np.indices((n, n)))
+        want = [bool(set(q[i][q[i] >= 0]) & set(h[j][h[j] >= 0])) for i, j in zip(a, b)]
+        assert embedding._met(q, h, a, b).tolist() == want
+        assert embedding._met(q, h, a[:99], b[:99]).tolist() == want[:99]
+
+
+def test_recall_and_rows_at_two_sizes(spark):
+    """Every vector lists as many directions at either size, and pairs at the threshold meet."""
+    rng = np.random.default_rng(7)
+    for n in (2000, 10_000):
+        x = embedding._unit(rng.standard_normal((n // 2, 64)))
+        z = rng.standard_normal(x.shape)
+        z = embedding._unit(z - (z * x).sum(1, keepdims=True) * x)
+        y = 0.951 * x + np.sqrt(1 - 0.951**2) * z
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+        got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+        assert sum(r.n_links for r in got) >= 0.995 * n and all(r.n_links <= 1 for r in got)
 
 
 PAGES = [

@@ -1,9 +1,10 @@
 """A join inside buckets, on matrices instead of pairs.
 
-Rows are stored in one bucket and probe several. Every bucket becomes tiles of
-at most ``tile`` stored rows by ``probes`` probing rows; stored rows are
-repeated for each probe slice and probing rows for each stored tile, so a
-bucket of any size is spread over many tasks and each task holds one tile.
+Rows are stored in buckets and probe buckets; one that does both in a bucket is a single
+row there. Every bucket becomes tiles of at most ``tile`` stored rows by ``probes``
+probing rows; stored rows are repeated for each probe slice and probing rows for each
+stored tile, so a bucket of any size is spread over many tasks and each task holds one
+tile.
 Per tile only two things leave the worker: what each probing row has matched
 (a weight) and a spanning forest of the matches; pairs are never emitted.
 """
@@ -48,8 +49,31 @@ def _numpy(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], match: Callable, link: Callable | None) -> Iterator[pa.RecordBatch]:
-    key, ids, weights, held = None, [], [], []
+    key, ids, weights, held, both = None, [], [], [], False
     block = None
+
+    def stored() -> tuple:
+        return np.concatenate(ids), np.concatenate(weights), b"".join(held)
+
+    def joined(q_ids: np.ndarray, q: bytes, h_ids: np.ndarray, h_w: np.ndarray, h: bytes) -> pa.RecordBatch:
+        qi, hj = match(q, h)
+        links = np.bincount(qi, weights=h_w[hj], minlength=len(q_ids)).astype(np.int64)
+        some = np.flatnonzero(links)
+        nodes, roots = link(q_ids, h_ids, qi, hj, q, h) if link else forest(q_ids, h_ids, qi, hj)
+        none = pa.nulls(len(nodes), pa.int64()), pa.nulls(len(some), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([q_ids[some], nodes])),
+                pa.concat_arrays([pa.array(links[some]), none[0]]),
+                pa.concat_arrays([none[1], pa.array(roots)]),
+            ],
+            names=["id", "links", "root"],
+        )
+
+    def within() -> pa.RecordBatch:
+        h_ids, h_w, h = stored()
+        return joined(h_ids, h, h_ids, h_w, h)
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,38 +83,29 @@ def _tiles(batches: Iterator[pa.RecordBatch], match: Callable, link: Callable |
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for lo, hi in zip(cuts, cuts[1:]):
             if (now := tuple(keys[lo, :3])) != key:
-                key, ids, weights, held, block = now, [], [], [], None
-            if keys[lo, 3] == 0:
+                if both:
+                    yield within()
+                key, ids, weights, held, both, block = now, [], [], [], False, None
+            if keys[lo, 3] != 1:
                 ids.append(b_ids[lo:hi])
                 weights.append(b_w[lo:hi])
                 held += payload[lo:hi]
+                both = keys[lo, 3] == 2
                 continue
             if not held:
                 continue
             if block is None:
-                block = (np.concatenate(ids), np.concatenate(weights), b"".join(held))
-            h_ids, h_w, h = block
-            q_ids = b_ids[lo:hi]
-            qi, hj = match(b"".join(payload[lo:hi]), h)
-            links = np.bincount(qi, weights=h_w[hj], minlength=hi - lo).astype(np.int64)
-            some = np.flatnonzero(links)
-            nodes, roots = link(q_ids, h_ids, qi, hj, b"".join(payload[lo:hi]), h) if link else forest(q_ids, h_ids, qi, hj)
-            none = pa.nulls(len(nodes), pa.int64()), pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([q_ids[some], nodes])),
-                    pa.concat_arrays([pa.array(links[some]), none[0]]),
-                    pa.concat_arrays([none[1], pa.array(roots)]),
-                ],
-                names=["id", "links", "root"],
-            )
+                block = stored()
+            yield joined(b_ids[lo:hi], b"".join(payload[lo:hi]), *block)
+    if both:
+        yield within()
 
 
 def bucket_join(rows: DataFrame, counts: DataFrame, match: Callable, tile: int = TILE, probes: int = PROBES, link: Callable | None = None) -> DataFrame:
     """``id, links, root``: what probing rows matched (``links``, a sum of stored
     weights, ``root`` null) and forest edges ``id - root`` (``links`` null).
 
-    ``rows``: ``bucket long, role int (0 stored, 1 probing), id long, w long,
+    ``rows``: ``bucket long, role int (0 stored, 1 probing, 2 both), id long, w long,
     payload binary``. ``counts``: ``bucket, stored, probing`` of the same rows.
     ``match(probing bytes, stored bytes)`` gives index arrays of the matches. ``link(probing
     ids, stored ids, indexes of matches, probing bytes, stored bytes)`` may give other edges
@@ -104,7 +119,9 @@ def bucket_join(rows: DataFrame, counts: DataFrame, match: Callable, tile: int =
     if hot.limit(HOT_ROWS + 1).count() <= HOT_ROWS:  # else Spark joins them as it sees fit
         hot = F.broadcast(hot)
     own, all_of = F.pmod(F.xxhash64("id"), F.col("n")).cast("int"), F.expr("explode(sequence(0, other - 1))")
-    at = rows.join(hot, "bucket", "left").withColumns(
+    split = F.when((F.col("role") == 2) & F.col("nt").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array("role"))
+    rows = rows.join(hot, "bucket", "left").select("bucket", F.explode(split).alias("role"), "id", "w", "payload", "nt", "ns")
+    at = rows.withColumns(
         {
             "n": F.coalesce(F.when(F.col("role") == 0, F.col("nt")).otherwise(F.col("ns")), F.lit(1)),
             "other": F.coalesce(F.when(F.col("role") == 0, F.col("ns")).otherwise(F.col("nt")), F.lit(1)),
