@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from tideline.functions import scan
@@ -312,9 +316,66 @@ def generations(writes: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     return scan.running_sum(rows, "_back", "generation", ["uid"], "write_seq", block).drop("_back")
 
 
+def flush_ranges(generations_: DataFrame, floors: DataFrame) -> DataFrame:
+    """``uid, generation, lo, hi``: what each hot table flushes to segments. An older table
+    stops where a newer one begins, nothing below the smallest live index is flushed, and
+    only writers of ``floors`` (``uid, smallest``), the registered ones, are."""
+    g = generations_.groupBy("uid", "generation").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    newer = Window.partitionBy("uid").orderBy(F.desc("generation")).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("hi", F.least(F.col("hi"), F.min("lo").over(newer) - 1)).join(floors.select("uid", "smallest"), "uid")
+    return g.select("uid", "generation", F.greatest("lo", "smallest").alias("lo"), "hi").filter("lo <= hi")
+
+
+def generation_of(wanted: DataFrame, generations_: DataFrame) -> DataFrame:
+    """``wanted`` (``uid, idx, term``) with the newest hot table that holds such an entry, null
+    where none does."""
+    held = generations_.groupBy("uid", "idx", "term").agg(F.max("generation").alias("generation"))
+    return wanted.join(held, ["uid", "idx", "term"], "left")
+
+
+def staged(ops: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """``uid, seq, idx, status`` of entries among transaction marks (``op``: begin, entry, commit,
+    abort; ``seq`` orders a log's rows). Entries between begin and commit appear together:
+    ``committed``; an abort takes them back: ``aborted``; they are ``staged`` while neither has
+    come. Entries outside transactions are ``committed``."""
+    rows = ops.withColumn("_begins", (F.col("op") == "begin").cast("int"))
+    rows = scan.running_sum(rows, "_begins", "_tx", ["uid"], "seq", block)
+    ends = rows.filter(F.col("op").isin("commit", "abort")).groupBy("uid", "_tx").agg(F.min_by("op", "seq").alias("_end"), F.min("seq").alias("_at"))
+    e = rows.filter("op = 'entry'").join(ends, ["uid", "_tx"], "left")
+    inside = (F.col("_tx") > 0) & (F.col("_at").isNull() | (F.col("seq") < F.col("_at")))
+    status = F.when(~inside | (F.col("_end") == "commit"), "committed").when(F.col("_end") == "abort", "aborted").otherwise("staged")
+    return e.select("uid", "seq", "idx", status.alias("status"))
+
+
+def newest_where(items: DataFrame, found: Column, by: str = "uid") -> DataFrame:
+    """``by, idx``: the newest item of a log for which ``found`` holds, as a search from its end."""
+    return items.filter(found).groupBy(by).agg(F.max("idx").alias("idx"))
+
+
+def take_while(items: DataFrame, holds: Column, by: str = "uid") -> DataFrame:
+    """Items from the newest one back to the first for which ``holds`` is not true."""
+    stop = items.filter(~F.coalesce(holds, F.lit(False))).groupBy(by).agg(F.max("idx").alias("_stop"))
+    return items.join(stop, by, "left").filter(F.col("_stop").isNull() | (F.col("idx") > F.col("_stop"))).drop("_stop")
+
+
+def read_commands(log: DataFrame, wanted: DataFrame, kinds: list[str]) -> DataFrame:
+    """User commands at the ``wanted`` indexes (``pos, idx``): entries of other kinds, such as
+    membership changes, are left out."""
+    return sparse_read(log.filter(F.col("type").isin(kinds)), wanted)
+
+
+def adler32(payload: Column) -> Column:
+    """Adler-32 of a binary column, an Arrow batch at a time (there is no such built-in)."""
+
+    def sums(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else zlib.adler32(b))
+
+    return F.pandas_udf(sums, LongType())(payload)
+
+
 def fill_ratio(size: Column, most: Column) -> Column:
     """Share of a file in use, one half where its size is unknown."""
-    return F.coalesce(F.least(F.lit(1.0), size / most), F.lit(0.5))
+    return F.when(size.isNull(), 0.5).otherwise(F.least(F.lit(1.0), size / most))
 
 
 def parked_until(queries: DataFrame, permits: DataFrame, block: int = scan.BLOCK) -> DataFrame:

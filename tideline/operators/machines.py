@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions import scan
+from tideline.operators import indexset
 
 
 def fold(commands: DataFrame, by: str, order: str, fields: list[str], zero: Column, apply: Callable[[Column, Column], Column]) -> DataFrame:
@@ -78,6 +79,37 @@ def effects(log: DataFrame) -> DataFrame:
     return log.select("uid", "idx", F.posexplode(kinds).alias("ordinal", "x")).select("uid", "idx", "ordinal", "x.kind", "x.target")
 
 
+def fired_timers(settings: DataFrame, now: Column) -> DataFrame:
+    """``uid, name, set_at, fires_at``: timers that go off (``settings``: ``uid, name, idx, ms,
+    after``; a null ``after`` cancels). Setting a timer again, or cancelling it, before it is due
+    replaces it; one that is due at ``now`` (ms) or before has fired."""
+    after = F.lead("ms").over(Window.partitionBy("uid", "name").orderBy("ms", "idx"))
+    rows = settings.withColumn("_next", after).withColumn("fires_at", F.col("ms") + F.col("after"))
+    due = (F.col("fires_at") <= now) & (F.col("_next").isNull() | (F.col("_next") > F.col("fires_at")))
+    return rows.filter(due).select("uid", "name", F.col("idx").alias("set_at"), "fires_at")
+
+
+def effects_where(log: DataFrame, rules: dict[str, tuple[Column, Column]], leader: Column) -> DataFrame:
+    """``uid, idx, kind, target``: effects of each command by ``rules`` (kind to condition and
+    target). Only a leader performs them, but for ``log``, ``release_cursor`` and ``checkpoint``,
+    which every member does."""
+    own = ("log", "release_cursor", "checkpoint")
+    each = [F.when(c if k in own else c & leader, F.struct(F.lit(k).alias("kind"), t.cast("string").alias("target"))) for k, (c, t) in rules.items()]
+    made = F.filter(F.array(*each), lambda x: x.isNotNull())
+    return log.select("uid", "idx", F.explode(made).alias("x")).select("uid", "idx", "x.kind", "x.target")
+
+
+def pipelined(commands: DataFrame, applied: DataFrame) -> DataFrame:
+    """``pid, batch, n, correlations``: applied replies to pipelined commands (``uid, idx, pid,
+    correlation``), one message for each applied range (``uid, batch, lo, hi``) and sender, in
+    log order; commands beyond every range have no reply yet."""
+    a = applied.withColumn("owner", F.col("uid")).select("owner", "lo", "hi", "batch")
+    found = indexset.locate(commands.withColumn("owner", F.col("uid")), a, ["batch"], 128)
+    rows = F.array_sort(F.collect_list(F.struct("idx", "correlation")))
+    joined = F.array_join(F.transform(rows, lambda x: x["correlation"].cast("string")), ",")
+    return found.groupBy("pid", "batch").agg(F.count("*").alias("n"), joined.alias("correlations"))
+
+
 # The key-value machine keeps pointers into the log; values stay there.
 
 

@@ -58,7 +58,7 @@ def groups(infos: DataFrame, max_count: int, max_bytes: int) -> DataFrame:
     """Major compaction's greedy grouping, oldest segment first: ``uid, segment, grp``.
 
     A segment joins when under half of its entries or bytes are live and the group's
-    budgets hold. One that is over budget heads the next group, or is passed over if it
+    budgets hold; those without a live entry are deleted, not grouped. One that is over budget heads the next group, or is passed over if it
     is over an empty group's; a dense one ends an open group. The choice depends on the
     order, so it is one ordered pass over a log's segments.
     """
@@ -72,7 +72,7 @@ def groups(infos: DataFrame, max_count: int, max_bytes: int) -> DataFrame:
             return (group + 1, max_count - n_live, max_bytes - live_bytes, True), (group + 1,)
         return (group + used, max_count, max_bytes, False), (None,)
 
-    rows = infos.select("uid", "segment", "lo", "n", "bytes", "n_live", "live_bytes")
+    rows = infos.filter("n_live > 0").select("uid", "segment", "lo", "n", "bytes", "n_live", "live_bytes")
     start = lambda: (1, max_count, max_bytes, False)
     out = ordered_pass(rows, ["uid"], ["lo", "segment"], ["n", "bytes", "n_live", "live_bytes"], {"grp": "long"}, start, step)
     return out.filter("grp is not null").select("uid", "segment", "grp")
@@ -85,6 +85,48 @@ def copied(entries: DataFrame, live: DataFrame, grouped: DataFrame) -> DataFrame
     return kept.join(target.select("uid", "segment", "target"), ["uid", "segment"])
 
 
+def major_plan(infos: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``uid, segment, action, target`` of a major compaction: segments without a live entry are
+    a ``delete``; the first of a group is a ``copy`` that takes the live entries of all, the
+    others are a ``link`` to it; the rest is a ``keep``."""
+    target = grouped.withColumn("target", F.min("segment").over(Window.partitionBy("uid", "grp"))).select("uid", "segment", "target")
+    action = (
+        F.when(F.col("n_live") == 0, "delete").when(F.col("target") == F.col("segment"), "copy")
+        .when(F.col("target").isNotNull(), "link").otherwise("keep")
+    )
+    rows = infos.select("uid", "segment", "n_live").join(target, ["uid", "segment"], "left").withColumn("action", action)
+    return rows.select("uid", "segment", "action", F.when(F.col("action") != "delete", F.coalesce("target", "segment")).alias("target"))
+
+
+def compacted(infos: DataFrame, plan: DataFrame, live_entries: DataFrame) -> DataFrame:
+    """The catalog after a major compaction: ``uid, segment, lo, hi, n, bytes`` of the segments
+    that are left. Kept ones are as they were; a copy has what is live in its group
+    (``live_entries``: ``uid, segment, idx, bytes`` of the segments before)."""
+    kept = infos.join(plan.filter("action = 'keep'").select("uid", "segment"), ["uid", "segment"], "left_semi").select("uid", "segment", "lo", "hi", "n", "bytes")
+    moved = live_entries.join(plan.filter("action in ('copy', 'link')").select("uid", "segment", "target"), ["uid", "segment"])
+    made = moved.groupBy("uid", F.col("target").alias("segment")).agg(
+        F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")
+    )
+    return kept.unionByName(made)
+
+
+def purgeable_links(files: DataFrame, older_than: int) -> DataFrame:
+    """``uid, name, reason`` of links to remove (``files``: ``uid, name, target, age``; a target
+    makes it a link): ``dangling`` where no file has the target's name, else ``old``."""
+    links = files.filter("target is not null")
+    real = files.filter("target is null").select("uid", F.col("name").alias("target"), F.lit(True).alias("_there"))
+    j = links.join(real, ["uid", "target"], "left")
+    reason = F.when(F.col("_there").isNull(), "dangling").when(F.col("age") > older_than, "old")
+    return j.select("uid", "name", reason.alias("reason")).filter("reason is not null")
+
+
+def catalog_overview(segments: DataFrame) -> DataFrame:
+    """``uid, segments, lo, hi, entries, bytes`` of each log's segment files."""
+    return segments.groupBy("uid").agg(
+        F.count("*").alias("segments"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("entries"), F.sum("bytes").alias("bytes")
+    )
+
+
 def schedule(requests: DataFrame, minors: int) -> DataFrame:
     """``uid, n, kind``: minor requests become major after ``minors`` minors; a request
     without live indexes is a minor one and counts, whatever was asked."""

@@ -46,6 +46,32 @@ def schedule(requests: DataFrame, interval: int) -> DataFrame:
     return ordered_pass(requests.select("uid", "idx"), ["uid"], ["idx"], ["idx"], {"_go": "boolean"}, lambda: 0, step).filter("_go").select("uid", "idx")
 
 
+def lifecycle(events: DataFrame) -> DataFrame:
+    """``uid, current, pending`` from begin, complete and abort events (``uid, seq, event, idx``):
+    the newest completed snapshot (one below it that completes later is dropped), and the
+    last begun one where neither an end nor a newer completed snapshot has come."""
+    ends = events.filter("event <> 'begin'").groupBy("uid", "idx").agg(F.max("seq").alias("_ended"))
+    done = events.filter("event = 'complete'").groupBy("uid").agg(F.max("idx").alias("current"))
+    begun = events.filter("event = 'begin'").groupBy("uid", "idx").agg(F.max("seq").alias("_begun"))
+    open_ = begun.join(ends, ["uid", "idx"], "left").filter(F.col("_ended").isNull() | (F.col("_ended") < F.col("_begun")))
+    open_ = open_.join(done, "uid", "left").filter(F.col("current").isNull() | (F.col("idx") > F.col("current")))
+    last = open_.groupBy("uid").agg(F.max_by("idx", "_begun").alias("pending"))
+    return events.select("uid").distinct().join(done, "uid", "left").join(last, "uid", "left").select("uid", "current", "pending")
+
+
+def stale_checkpoints(checkpoints: DataFrame, snap: DataFrame) -> DataFrame:
+    """Checkpoints to delete on start: those at or below their log's snapshot (``uid, snap``)."""
+    return checkpoints.join(snap, "uid").filter(F.col("idx") <= F.col("snap")).drop("snap")
+
+
+def recovery_checkpoint(applied: DataFrame, checkpoints: DataFrame, interval: int) -> DataFrame:
+    """``uid, idx``: logs for which a checkpoint is written on shutdown, at ``last_applied``
+    (``applied``: ``uid, last_applied``), as that is ``interval`` or more above their newest one."""
+    newest = checkpoints.groupBy("uid").agg(F.max("idx").alias("_newest"))
+    j = applied.join(newest, "uid", "left")
+    return j.filter(F.col("last_applied") - F.coalesce("_newest", F.lit(0)) >= interval).select("uid", F.col("last_applied").alias("idx"))
+
+
 def newest_valid(snapshots: DataFrame) -> DataFrame:
     """Recovery: the newest snapshot whose checksum holds."""
     return snapshots.filter("valid").groupBy("uid").agg(F.max("idx").alias("idx"), F.max_by("term", "idx").alias("term"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.functions import scan
 from tideline.operators import logops, machines, metrics
 from tideline.plans import views
 from tideline.plans.machine_queries import _KV, _REPLICAS, _replicas
@@ -34,29 +33,19 @@ def memtable_insert(spark, sf):
     return logops.insert_status(rows).select("uid", "idx", "term", "status")
 
 
-_LOGS = """logs AS (SELECT 'log_' || key % 40 AS uid, row_number() OVER (PARTITION BY key % 40 ORDER BY idx) AS idx, key, op, payload, idx AS seq FROM log)"""
-
-
-def _logs(spark, sf):
-    """Forty logs in one table, with indexes of their own."""
-    rows = views.log(spark, sf).withColumn("uid", F.concat(F.lit("log_"), F.col("key") % 40))
-    rows = scan.running_sum(rows.withColumn("one", F.lit(1).cast("long")), "one", "n", ["uid"], "idx")
-    return rows.select("uid", F.col("n").alias("idx"), "key", "op", "payload", F.col("idx").alias("seq"))
-
-
-@query(f"""WITH {_LOGS}, kv AS (SELECT uid, key, max(idx) AS idx FROM logs GROUP BY uid, key HAVING arg_max(op, idx) = 'put')
+@query("""WITH kv AS (SELECT uid, key, max(idx) AS idx FROM logs GROUP BY uid, key HAVING arg_max(op, idx) = 'put')
     SELECT uid, kv.key, idx, payload FROM kv JOIN logs USING (uid, idx)""")
 def kv_get_of_many_logs(spark, sf):
-    logs = _logs(spark, sf)
+    logs = views.logs(spark, sf)
     return machines.kv_read(machines.kv_state(logs, ["uid"]), logs.select("uid", "idx", "key", "payload")).select("uid", "key", "idx", "payload")
 
 
-@query(f"""WITH {_LOGS}, w AS (SELECT uid, idx, idx AS pos FROM logs WHERE idx % 3 = 0), j AS (SELECT w.uid, w.pos, w.idx, l.seq FROM w LEFT JOIN
+@query("""WITH w AS (SELECT uid, idx, idx AS pos FROM logs WHERE idx % 3 = 0), j AS (SELECT w.uid, w.pos, w.idx, l.seq FROM w LEFT JOIN
     (SELECT * FROM logs WHERE seq % 101 <> 0) l USING (uid, idx)), s AS (SELECT uid, min(pos) FILTER (seq IS NULL) AS stop FROM j GROUP BY uid)
     SELECT uid, pos, idx, seq FROM j JOIN s USING (uid) WHERE stop IS NULL OR pos < stop""")
 def sparse_read_of_many_logs(spark, sf):
     """Every third index of each log up to the first hole."""
-    logs = _logs(spark, sf)
+    logs = views.logs(spark, sf)
     wanted = logs.filter("idx % 3 = 0").select("uid", "idx", F.col("idx").alias("pos"))
     return logops.sparse_read(logs.filter("seq % 101 <> 0"), wanted, "stop").select("uid", "pos", "idx", "seq")
 

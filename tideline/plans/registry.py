@@ -32,6 +32,7 @@ from tideline.plans import (  # noqa: E402, F401  (they register themselves)
     machine_queries,
     metric_queries,
     quorum_queries,
+    replication_queries,
     segment_queries,
     whole_queries,
 )

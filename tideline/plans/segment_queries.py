@@ -63,7 +63,7 @@ def compaction_minor(spark, sf):
     return segments.unreferenced(candidates, views.live(spark, sf), 128).select("uid", "segment", "lo", "hi")
 
 
-_GROUPS = f"""{_RECORDS}, {_INFO}, c AS (SELECT i.*, row_number() OVER (ORDER BY lo) AS k FROM i, snapidx, maxidx m WHERE hi <= snap AND hi < m.n),
+_GROUPS = f"""{_RECORDS}, {_INFO}, c AS (SELECT i.*, row_number() OVER (ORDER BY lo) AS k FROM i, snapidx, maxidx m WHERE hi <= snap AND hi < m.n AND n_live > 0),
     g AS (
         SELECT 0::BIGINT AS k, 0::BIGINT AS segment, 1::BIGINT AS g, {COUNT}::BIGINT AS cnt, {BYTES}::BIGINT AS size, false AS used, NULL::BIGINT AS grp
         UNION ALL SELECT k, segment, CASE WHEN sparse AND fits THEN g WHEN sparse AND used AND alone THEN g + 1 ELSE g + used::BIGINT END,
@@ -109,3 +109,43 @@ def compaction_schedule(spark, sf):
 def compaction_recovery(spark, sf):
     s = views.segments(spark, sf)
     return segments.recovery(s.select(F.floor(F.col("segment") / 3).alias("grp"), F.col("segment").alias("name"), (F.col("segment") % 5 == 0).alias("is_compacting")))
+
+
+_PLAN = f"""{_GROUPS}, all_c AS (SELECT i.* FROM i, snapidx, maxidx m WHERE hi <= snap AND hi < m.n),
+    t AS (SELECT segment, min(segment) OVER (PARTITION BY grp) AS target FROM g WHERE grp IS NOT NULL),
+    plan AS (SELECT c.uid, c.segment, CASE WHEN n_live = 0 THEN 'delete' WHEN target = c.segment THEN 'copy' WHEN target IS NOT NULL THEN 'link' ELSE 'keep' END AS action,
+    CASE WHEN n_live > 0 THEN coalesce(target, c.segment) END AS target FROM all_c c LEFT JOIN t ON t.segment = c.segment)"""
+
+
+def _plan(spark, sf):
+    infos = segments.compactable(_info(spark, sf), _snap(spark, sf))
+    return infos, segments.major_plan(infos, segments.groups(infos, COUNT, BYTES))
+
+
+@query(f"WITH RECURSIVE {_PLAN} SELECT * FROM plan")
+def compaction_plan(spark, sf):
+    return _plan(spark, sf)[1]
+
+
+@query(f"""WITH RECURSIVE {_PLAN} SELECT c.uid, c.segment, lo, hi, n, bytes FROM all_c c JOIN plan p ON p.segment = c.segment AND action = 'keep'
+    UNION ALL SELECT r.uid, p.target, min(r.idx), max(r.idx), count(*), sum(r.bytes)::BIGINT FROM rec r JOIN live l ON r.uid = l.uid AND r.idx = l.idx
+    JOIN plan p ON p.segment = r.segment AND action IN ('copy', 'link') GROUP BY r.uid, p.target""")
+def compaction_result(spark, sf):
+    infos, plan = _plan(spark, sf)
+    live = _records(spark, sf).join(views.live(spark, sf), ["uid", "idx"], "left_semi")
+    return segments.compacted(infos, plan, live)
+
+
+@query("SELECT uid, count(*) AS segments, min(lo) AS lo, max(hi) AS hi, sum(n)::BIGINT AS entries, sum(bytes)::BIGINT AS bytes FROM segments GROUP BY uid")
+def catalog_overview(spark, sf):
+    return segments.catalog_overview(views.segments(spark, sf))
+
+
+@query("""WITH f AS (SELECT p_partkey % 20 AS uid, p_partkey AS name, p_size AS age, CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 20 WHEN p_partkey % 7 = 0 THEN -1 END AS target FROM part)
+    SELECT l.uid, l.name, CASE WHEN r.name IS NULL THEN 'dangling' ELSE 'old' END AS reason FROM f l LEFT JOIN f r ON r.uid = l.uid AND r.name = l.target AND r.target IS NULL
+    WHERE l.target IS NOT NULL AND (r.name IS NULL OR l.age > 30)""")
+def purge_links(spark, sf):
+    p = views.read(spark, sf, "part")
+    k = F.col("p_partkey")
+    target = F.when(k % 3 == 0, k + 20).when(k % 7 == 0, F.lit(-1))
+    return segments.purgeable_links(p.select((k % 20).alias("uid"), k.alias("name"), F.col("p_size").alias("age"), target.alias("target")), 30)

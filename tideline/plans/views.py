@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions import scan
+
 SEGMENT = 128
 
 
@@ -33,6 +35,17 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty logs in one table, each with indexes of its own; ``seq`` is the place over all."""
+    rows = log(spark, sf).withColumns({"k": F.col("key") % 40, "uid": F.concat(F.lit("log_"), F.col("key") % 40), "one": F.lit(1).cast("long")})
+    rows = scan.running_sum(rows, "one", "nth", ["uid"], "idx")
+    return rows.select("uid", "k", F.col("nth").alias("idx"), "term", "key", "op", "type", "payload", F.col("idx").alias("seq"))
+
+
+def heads(spark: SparkSession, sf: str) -> DataFrame:
+    return logs(spark, sf).groupBy("uid", "k").agg(F.max("idx").alias("n"))
+
+
 def max_idx(spark: SparkSession, sf: str) -> DataFrame:
     return log(spark, sf).agg(F.max("idx").alias("n"))
 
@@ -126,6 +139,11 @@ CTES = {
     "log": """SELECT 'main' AS uid, event_id + 1 AS idx, date_diff('day', DATE '1970-01-01', ts::DATE) + 1 AS term, ts,
         user_id AS key, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, event_type AS type,
         value AS amount, props AS payload FROM events""",
+    "logs": """SELECT 'log_' || key % 40 AS uid, key % 40 AS k, row_number() OVER (PARTITION BY key % 40 ORDER BY idx) AS idx, term, key, op, type,
+        payload, idx AS seq FROM log""",
+    "heads": "SELECT uid, k, max(idx) AS n FROM logs GROUP BY uid, k",
+    "gens": """SELECT *, sum(back) OVER (PARTITION BY uid ORDER BY write_seq)::BIGINT AS generation FROM
+        (SELECT *, coalesce((lag(idx) OVER (PARTITION BY uid ORDER BY write_seq) >= idx)::INT, 0) AS back FROM writes)""",
     "maxidx": "SELECT max(idx) AS n FROM log",
     "segments": """SELECT uid, (idx - 1) // 128 + 1 AS segment, min(idx) AS lo, max(idx) AS hi, count(*) AS n,
         sum(octet_length(encode(payload)))::BIGINT AS bytes FROM log GROUP BY ALL""",
