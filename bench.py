@@ -34,14 +34,18 @@ HEADLINES = [
 
 def fifo_apply(spark):
     """The one workload with a published time: 99,999 enqueues, then 100,000 settles of a
-    consumer that does not exist. Ready messages are those without a settle of their own."""
+    consumer that does not exist, applied one by one by the queue machine."""
     from pyspark.sql import functions as F
 
-    from tideline.operators import queues
+    from tideline.operators import fifo
 
-    n = spark.range(1, 100_000).select(F.lit(1).alias("producer"), F.col("id").alias("seqno"), F.col("id").alias("arrival"))
-    settles = spark.range(1, 100_001).select(F.lit(2).alias("producer"), F.col("id").alias("seqno"), (F.col("id") + 100_000).alias("arrival"), F.lit("settle").alias("event"))
-    return queues.ready(n.select("producer", "seqno"), settles)
+    n = F.col("id")
+    none = lambda kind: F.lit(None).cast(kind)
+    commands = spark.range(1, 200_000).select(
+        F.lit(1).cast("long").alias("queue"), n.alias("idx"), F.when(n < 100_000, "enqueue").otherwise("settle").alias("event"), (n >= 100_000).cast("long").alias("pid"),
+        F.when(n < 100_000, n).alias("seqno"), F.array(n - 100_000).alias("ids"), none("string").alias("life"), none("long").alias("credit"),
+    )
+    return fifo.overview(commands)
 
 
 def main() -> None:

@@ -43,3 +43,39 @@ def ordered_pass(df: DataFrame, by: list[str], order: list[str | Column], uses:
 
     keys = [F.col(b) for b in by]
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def ordered_rows(df: DataFrame, by: list[str], order: list[str | Column], uses: list[str], schema: str, start: Callable, step: Callable, finish: Callable | None = None) -> DataFrame:
+    """Rows that an ordered pass gives: ``step(state, *values of uses)`` returns the rows (tuples
+    without the key) that each row leads to and changes ``state`` in place; ``finish(state)`` returns
+    those at a key's end. ``schema`` is that of the key followed by the rows."""
+    width = len(by)
+    fields = df.sparkSession.createDataFrame([], schema).schema
+    kinds = [_KINDS[f.dataType.simpleString().replace("bigint", "long")] for f in fields]
+    names, keys = [*by, *uses], [F.col(b) for b in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, out = None, None, []
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=fields.names)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+            for row in zip(*columns):
+                if row[:width] != key:
+                    if finish and key is not None:
+                        out += [(*key, *x) for x in finish(state)]
+                    key, state = row[:width], start()
+                if made := step(state, *row[width:]):
+                    out += [(*key, *x) for x in made]
+                if len(out) >= 8192:
+                    yield flush()
+        if finish and key is not None:
+            out += [(*key, *x) for x in finish(state)]
+        if out:
+            yield flush()
+
+    return df.select(*names, *[o for o in order if isinstance(o, str) and o not in names]).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, fields)

@@ -21,44 +21,44 @@ def _block(order: str, block: int) -> Column:
 
 def running_sum(df: DataFrame, value: str, out: str, by: list[str], order: str, block: int = BLOCK) -> DataFrame:
     """Adds ``out``: the sum of ``value`` up to and including each row (``order`` is unique and numeric)."""
-    df = df.withColumn("_b", _block(order, block))
-    ahead = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*by, "_b").agg(F.sum(value).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(ahead), F.lit(0)))
-    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(sums.drop("_s"), [*by, "_b"])
-    return joined.withColumn(out, F.col("_start") + F.sum(value).over(inside)).drop("_b", "_start")
+    df = df.withColumn("__block", _block(order, block))
+    ahead = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*by, "__block").agg(F.sum(value).alias("__s")).withColumn("__start", F.coalesce(F.sum("__s").over(ahead), F.lit(0)))
+    inside = Window.partitionBy(*by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = df.join(sums.drop("__s"), [*by, "__block"])
+    return joined.withColumn(out, F.col("__start") + F.sum(value).over(inside)).drop("__block", "__start")
 
 
 def running_max(df: DataFrame, value: str, out: str, by: list[str], order: str, block: int = BLOCK) -> DataFrame:
     """Adds ``out``: the greatest ``value`` up to and including each row."""
-    df = df.withColumn("_b", _block(order, block))
-    ahead = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = df.groupBy(*by, "_b").agg(F.max(value).alias("_m")).withColumn("_start", F.max("_m").over(ahead))
-    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(tops.drop("_m"), [*by, "_b"])
-    return joined.withColumn(out, F.greatest(F.max(value).over(inside), F.col("_start"))).drop("_b", "_start")
+    df = df.withColumn("__block", _block(order, block))
+    ahead = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*by, "__block").agg(F.max(value).alias("__m")).withColumn("__start", F.max("__m").over(ahead))
+    inside = Window.partitionBy(*by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = df.join(tops.drop("__m"), [*by, "__block"])
+    return joined.withColumn(out, F.greatest(F.max(value).over(inside), F.col("__start"))).drop("__block", "__start")
 
 
 def later_min(df: DataFrame, value: str, out: str, by: list[str], order: str, block: int = BLOCK) -> DataFrame:
     """Adds ``out``: the least ``value`` of the rows after each row, null for the last."""
-    df = df.withColumn("_b", _block(order, block))
+    df = df.withColumn("__block", _block(order, block))
     # From the end backwards: a growing frame costs one step a row, a shrinking one all of it.
-    behind = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    low = df.groupBy(*by, "_b").agg(F.min(value).alias("_m")).withColumn("_later", F.min("_m").over(behind))
-    inside = Window.partitionBy(*by, "_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(low.drop("_m"), [*by, "_b"])
-    return joined.withColumn(out, F.least(F.min(value).over(inside), F.col("_later"))).drop("_b", "_later")
+    behind = Window.partitionBy(*by).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    low = df.groupBy(*by, "__block").agg(F.min(value).alias("__m")).withColumn("__later", F.min("__m").over(behind))
+    inside = Window.partitionBy(*by, "__block").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(low.drop("__m"), [*by, "__block"])
+    return joined.withColumn(out, F.least(F.min(value).over(inside), F.col("__later"))).drop("__block", "__later")
 
 
 def last_value(df: DataFrame, value: Column, out: str, by: list[str], order: list[Column], block: Column) -> DataFrame:
     """Adds ``out``: the last non-null ``value`` up to and including each row; ``block`` must
     not decrease along ``order``."""
-    df = df.withColumns({"_b": block, "_v": value})
+    df = df.withColumns({"__block": block, "__v": value})
     key = F.struct(*order)
-    ahead = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = df.filter("_v is not null").groupBy(*by, "_b").agg(F.max_by("_v", key).alias("_e"))
-    every = df.select(*by, "_b").distinct().join(ends, [*by, "_b"], "left")
-    every = every.withColumn("_start", F.last("_e", ignorenulls=True).over(ahead)).drop("_e")
-    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(every, [*by, "_b"])
-    return joined.withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_start"))).drop("_b", "_v", "_start")
+    ahead = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.filter("__v is not null").groupBy(*by, "__block").agg(F.max_by("__v", key).alias("__e"))
+    every = df.select(*by, "__block").distinct().join(ends, [*by, "__block"], "left")
+    every = every.withColumn("__start", F.last("__e", ignorenulls=True).over(ahead)).drop("__e")
+    inside = Window.partitionBy(*by, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = df.join(every, [*by, "__block"])
+    return joined.withColumn(out, F.coalesce(F.last("__v", ignorenulls=True).over(inside), F.col("__start"))).drop("__block", "__v", "__start")

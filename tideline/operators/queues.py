@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,37 +61,3 @@ def matched(ops: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     rows = rows.withColumn("_k", F.when(F.col("op") == "enq", F.col("_level") + F.col("_deqs")).otherwise(served))
     enq = rows.filter("op = 'enq'").select("queue", "_k", F.col("idx").alias("enq_idx"))
     return rows.filter("op = 'deq'").join(enq, ["queue", "_k"], "left").select("queue", F.col("idx").alias("deq_idx"), "enq_idx")
-
-
-def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One queue's deliveries under credit: consumers take turns, returned messages go
-    first, then the lowest message. Events: enqueue, checkout (credit), settle, return."""
-    waiting, returned, turn, credit, held, out = [], [], [], {}, {}, []
-    for e in pdf.sort_values("idx").itertuples():
-        if e.event == "enqueue":
-            waiting.append(e.msg)
-        elif e.event == "checkout":
-            if e.consumer not in credit:
-                turn.append(e.consumer)
-            credit[e.consumer] = credit.get(e.consumer, 0) + int(e.credit)
-        elif e.msg in held and held[e.msg] == e.consumer:
-            del held[e.msg]
-            credit[e.consumer] += 1
-            if e.event == "return":
-                returned.append(e.msg)
-        while (waiting or returned) and any(credit[c] > 0 for c in turn):
-            c = turn.pop(0)
-            turn.append(c)
-            if credit[c] <= 0:
-                continue
-            msg = returned.pop(0) if returned else waiting.pop(0)
-            credit[c] -= 1
-            held[msg] = c
-            out.append((e.queue, len(out), e.idx, c, msg))
-    return pd.DataFrame(out, columns=["queue", "delivery", "idx", "consumer", "msg"])
-
-
-def deliveries(events: DataFrame) -> DataFrame:
-    """``queue, delivery, idx, consumer, msg``. Credit scheduling depends on every event
-    before, so a queue is simulated as one group; queues run in parallel."""
-    return events.groupBy("queue").applyInPandas(serve, "queue long, delivery long, idx long, consumer long, msg long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.operators import metrics, queues, snapshots
+from tideline.operators import fifo, metrics, queues, snapshots
 from tideline.plans import views
 from tideline.plans.registry import query
 
@@ -213,12 +213,31 @@ def queue_match(spark, sf):
     return queues.matched(views.log(spark, sf).select(F.col("key").alias("queue"), "idx", op.alias("op")))
 
 
+def _fifo_commands(spark, sf):
+    """Each user's events as commands of one queue, every kind of command among them. Some
+    messages come early, twice or without a number."""
+    log, i = views.log(spark, sf), F.col("idx")
+    kind = (
+        F.when(F.col("type") == "click", F.when(i % 13 == 0, "dequeue").otherwise("checkout"))
+        .when(F.col("type") == "purchase", F.when(i % 5 == 0, "discard").otherwise("settle"))
+        .when(F.col("type") == "error", F.element_at(F.array(*map(F.lit, "return return cancel down return noconnection nodeup purge".split())), (i % 8 + 1).cast("int")))
+        .otherwise("enqueue")
+    )
+    rows = log.select(F.col("key").alias("queue"), "idx", kind.alias("event"), (i % 3).alias("pid"))
+    n = F.row_number().over(Window.partitionBy("queue", "event", "pid").orderBy("idx"))
+    rows = rows.withColumn("n", n)
+    seqno = F.when(i % 6 == 0, None).when(F.col("n") % 4 == 1, F.col("n") + 1).when(F.col("n") % 4 == 2, F.col("n") - 1).otherwise(F.col("n") - (F.col("n") % 7 == 0).cast("int"))
+    life = F.when(F.col("event") == "dequeue", F.when(i % 2 == 0, "settled").otherwise("unsettled")).when(i % 4 == 0, "once").otherwise("auto")
+    return rows.select("queue", "idx", "event", "pid", seqno.cast("long").alias("seqno"), F.array(i % 4, i % 4 + 1).alias("ids"), life.alias("life"), (1 + i % 3).alias("credit"))
+
+
 @query()
-def fifo_deliveries(spark, sf):
-    """Credit scheduling of each user's events: views enqueue, clicks give credit, purchases settle."""
-    log = views.log(spark, sf)
-    kind = F.when(F.col("type") == "click", "checkout").when(F.col("type") == "purchase", "settle").when(F.col("type") == "error", "return").otherwise("enqueue")
-    n = F.count_if(kind == "enqueue").over(Window.partitionBy("key").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    msg = F.when(kind == "enqueue", F.col("idx")).otherwise(F.col("idx") - F.col("idx") % 7)
-    rows = log.select(F.col("key").alias("queue"), "idx", kind.alias("event"), msg.alias("msg"), (F.col("idx") % 3).alias("consumer"), F.lit(2).alias("credit"), n.alias("n"))
-    return queues.deliveries(rows.drop("n"))
+def fifo_effects(spark, sf):
+    """Deliveries and replies of the queue machine; compared with a plain version in the tests."""
+    return fifo.effects(_fifo_commands(spark, sf))
+
+
+@query()
+def fifo_overview(spark, sf):
+    """State of every queue after its log; compared with a plain version in the tests."""
+    return fifo.overview(_fifo_commands(spark, sf))
