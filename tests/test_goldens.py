@@ -234,3 +234,32 @@ def test_logs_do_not_share_indexes(spark):
     wanted = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "uid string, idx long, pos long")
     assert [r.payload for r in logops.sparse_read(log, wanted).collect()] == ["x"]
     assert [r.payload for r in logops.sparse_read(log, wanted, "stop").collect()] == ["x"]
+
+
+def test_checked_files(spark, tmp_path):
+    from tideline.sources import log_table
+
+    rows = spark.createDataFrame([("a", i) for i in (1, 2, 3, 7, 9, 10)], "owner string, idx long")
+    whole, torn, damaged = (str(tmp_path / n) for n in ("whole", "torn", "damaged"))
+    for path in (whole, torn, damaged):
+        log_table.write_snapshot(rows, {"idx": 10, "term": 2}, path)
+    rows.limit(5).write.mode("overwrite").parquet(f"{damaged}/state")
+    import shutil
+
+    shutil.rmtree(f"{torn}/meta")
+    with pytest.raises(ValueError, match="bad checksum"):
+        log_table.read_snapshot(spark, damaged)
+    assert log_table.recover_snapshot(spark, [torn, damaged, str(tmp_path / "none"), whole]) == whole
+    assert log_table.recover_snapshot(spark, [torn, damaged]) is None
+    assert log_table.read_snapshot(spark, whole)[0].first().term == 2
+    log_table.write_indexes(rows, str(tmp_path / "live"))
+    assert spark.read.parquet(str(tmp_path / "live/state")).count() == 3
+    assert sorted(r.idx for r in log_table.read_indexes(spark, str(tmp_path / "live")).collect()) == [1, 2, 3, 7, 9, 10]
+
+
+def test_shuffles_depend_on_the_seed_only(spark):
+    from tideline.operators import scheduling
+
+    df = spark.createDataFrame([("a", i) for i in range(50)], "uid string, item long")
+    order = lambda d, seed: [r.item for r in scheduling.shuffled(d, "uid", seed).orderBy("rank").collect()]
+    assert order(df, 1) == order(df.repartition(7), 1) != order(df, 2) and sorted(order(df, 1)) == list(range(50)) != order(df, 1)

@@ -89,6 +89,20 @@ def read_plan(wanted: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def exec_plan(wanted: DataFrame, segments: DataFrame, log: DataFrame, width: int = 128) -> DataFrame:
+    """Entries at the ``wanted`` indexes (``uid, idx``) with the segment that serves each; those
+    that no segment holds are left out."""
+    s = segments.select(F.col("uid").alias("owner"), "lo", "hi", "segment")
+    found = indexset.locate(wanted.withColumn("owner", F.col("uid")), s, ["segment"], width)
+    return found.drop("owner").join(log, ["uid", "idx"])
+
+
+def above_snapshot(log: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Entries that a fold over the log sees: those behind the log's snapshot (``uid, snap``), all
+    where it has none."""
+    return log.join(snapshots, "uid", "left").filter(F.col("snap").isNull() | (F.col("idx") > F.col("snap"))).drop("snap")
+
+
 def fetch_term(wanted: DataFrame, log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Term of each wanted index, from the log or else from the snapshot that ends there."""
     l = log.select("uid", "idx", F.col("term").alias("_log"))

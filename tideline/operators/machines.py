@@ -89,6 +89,25 @@ def fired_timers(settings: DataFrame, now: Column) -> DataFrame:
     return rows.filter(due).select("uid", "name", F.col("idx").alias("set_at"), "fires_at")
 
 
+def ticks(machines: DataFrame, every: int) -> DataFrame:
+    """``uid, ms``: the tick commands of machines that run from ``started`` to ``stopped`` (ms), one
+    ``every`` so many."""
+    return machines.filter(F.col("started") + every <= F.col("stopped")).select(
+        "uid", F.explode(F.sequence(F.col("started") + every, F.col("stopped"), F.lit(every).cast("long"))).alias("ms")
+    )
+
+
+def aux_overview(log: DataFrame, applied: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """What a machine may ask of its log: ``uid, last_index, last_term, current_term, last_applied,
+    snapshot_index, snapshot_age, entries_above`` (``applied``: ``uid, last_applied``; ``snapshots``: ``uid,
+    snap``)."""
+    own = log.groupBy("uid").agg(F.max("idx").alias("last_index"), F.max_by("term", "idx").alias("last_term"), F.max("term").alias("current_term"))
+    j = own.join(applied, "uid", "left").join(snapshots, "uid", "left")
+    age = F.col("last_applied") - F.coalesce("snap", F.lit(0))
+    return j.select("uid", "last_index", "last_term", "current_term", "last_applied", F.col("snap").alias("snapshot_index"), age.alias("snapshot_age"),
+                    (F.col("last_index") - F.coalesce("snap", F.lit(0))).alias("entries_above"))
+
+
 def effects_where(log: DataFrame, rules: dict[str, tuple[Column, Column]], leader: Column) -> DataFrame:
     """``uid, idx, kind, target``: effects of each command by ``rules`` (kind to condition and
     target). Only a leader performs them, but for ``log``, ``release_cursor`` and ``checkpoint``,

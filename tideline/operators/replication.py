@@ -121,3 +121,39 @@ def back_off(peers: DataFrame, replies: DataFrame, log: DataFrame) -> DataFrame:
     match = F.when(none | lacks, F.col("match_index")).when(same | below, F.col("last_idx")).otherwise(F.col("match_index"))
     following = F.when(none, F.col("next_index")).when(lacks | same, F.col("_next")).when(below, F.col("last_idx") + 1).otherwise(back)
     return j.select("member", match.alias("match_index"), following.alias("next_index"))
+
+
+def tick(logs: DataFrame, memtable: DataFrame, now: int, timeout: int) -> DataFrame:
+    """``uid, resend_from``: logs that write their cached entries again on a tick.
+
+    ``logs``: ``uid, last_written, last_write_at, writer, current_writer``; ``memtable``: ``uid, idx``. It
+    takes that the last write was more than ``timeout`` ago, that there is a writer process and
+    another one than then, and that the entry after the last written one is cached."""
+    late = (F.lit(now) > F.col("last_write_at") + timeout) & F.col("current_writer").isNotNull() & (F.col("current_writer") != F.col("writer"))
+    due = logs.filter(late).select("uid", (F.col("last_written") + 1).alias("resend_from"))
+    return due.join(memtable.select("uid", F.col("idx").alias("resend_from")), ["uid", "resend_from"], "left_semi")
+
+
+def snapshot_written(log: DataFrame, live: DataFrame, pending: DataFrame, checkpoints: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``uid, first, entries, pending, checkpoints`` after each log's snapshot (``uid, snap``): entries
+    above it or live, pending indexes above it, and checkpoints above it are left; ``first`` is
+    the smallest index left, or the one after the snapshot."""
+
+    def left(df: DataFrame, name: str) -> DataFrame:
+        above = df.select("uid", "idx").join(snapshots, "uid").filter(F.col("idx") > F.col("snap"))
+        return above.groupBy("uid").agg(F.count("*").alias(name), F.min("idx").alias(f"_{name}"))
+
+    held = log.select("uid", "idx").join(snapshots, "uid").join(live.select("uid", "idx", F.lit(True).alias("_live")), ["uid", "idx"], "left")
+    held = held.filter((F.col("idx") > F.col("snap")) | F.col("_live")).groupBy("uid").agg(F.count("*").alias("entries"), F.min("idx").alias("_first"))
+    out = snapshots.join(held, "uid", "left").join(left(pending, "pending"), "uid", "left").join(left(checkpoints, "checkpoints"), "uid", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("uid", F.coalesce("_first", F.col("snap") + 1).alias("first"), *(F.coalesce(c, zero).alias(c) for c in ("entries", "pending", "checkpoints")))
+
+
+def routed(commands: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``uid, idx, outcome, member`` of commands sent to a member (``to``): taken by the leader
+    (``appended``), sent on to it (``redirect``), or, where a cluster has none, ``noleader``.
+    ``leaders``: ``cluster, leader``."""
+    j = commands.join(leaders.select("cluster", "leader"), "cluster", "left")
+    outcome = F.when(F.col("leader").isNull(), "noleader").when(F.col("leader") == F.col("to"), "appended").otherwise("redirect")
+    return j.select("uid", "idx", outcome.alias("outcome"), F.col("leader").alias("member"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.functions import counters
 from tideline.operators import logops, machines, replication, scheduling, snapshots
 from tideline.plans import views
 from tideline.plans.registry import query
@@ -246,3 +247,73 @@ def members_local_first(spark, sf):
 @query("SELECT uid, idx, idx % 4 AS worker FROM logs WHERE op = 'put'")
 def partitioned_work(spark, sf):
     return scheduling.partitioned(views.logs(spark, sf).filter("op = 'put'"), "idx", 4).select("uid", "idx", "worker")
+
+
+@query("""SELECT uid, n - 8 AS resend_from FROM heads WHERE k % 4 <> 0 AND k % 3 <> 1 AND k % 5 <> 2 AND 100000 > 90000 + k * 300 + 5000""")
+def log_tick(spark, sf):
+    """The writer has restarted for most logs, some have none, some wrote just now, some have
+    cached nothing."""
+    h, k = views.heads(spark, sf), F.col("k")
+    logs = h.select(
+        "uid", (F.col("n") - 9).alias("last_written"), (90_000 + k * 300).alias("last_write_at"), F.lit(1).alias("writer"),
+        F.when(k % 4 == 0, 1).when(k % 5 != 2, 2).alias("current_writer"),
+    )
+    cached = views.logs(spark, sf).join(h.drop("k"), "uid").filter("idx > n - 20 and not (k % 3 = 1 and idx = n - 8)")
+    return replication.tick(logs, cached, 100_000, 5000)
+
+
+@query("""WITH s AS (SELECT uid, n, n // 2 AS snap FROM heads)
+    SELECT s.uid, min(l.idx) FILTER (l.idx > snap OR l.key % 9 = 0) AS first, count(*) FILTER (l.idx > snap OR l.key % 9 = 0) AS entries,
+    count(*) FILTER (l.idx > snap AND l.idx > n - 30 AND l.idx % 2 = 0) AS pending, count(*) FILTER (l.idx > snap AND l.idx % 7 = 0) AS checkpoints
+    FROM s JOIN logs l ON l.uid = s.uid GROUP BY s.uid""")
+def snapshot_written(spark, sf):
+    logs, heads = views.logs(spark, sf), views.heads(spark, sf)
+    pending = logs.join(heads.drop("k"), "uid").filter("idx > n - 30 and idx % 2 = 0")
+    return replication.snapshot_written(logs, logs.filter("key % 9 = 0"), pending, logs.filter("idx % 7 = 0"), heads.select("uid", F.expr("n div 2").alias("snap")))
+
+
+@query("""WITH b AS (SELECT key % 50 AS cluster, arg_max(key, idx) AS leader FROM log WHERE type = 'view' AND key % 50 <> 13 GROUP BY 1)
+    SELECT uid, idx, CASE WHEN leader IS NULL THEN 'noleader' WHEN leader = key THEN 'appended' ELSE 'redirect' END AS outcome, leader AS member
+    FROM log LEFT JOIN b ON b.cluster = key % 50""")
+def commands_routed(spark, sf):
+    log, cluster = views.log(spark, sf), F.col("key") % 50
+    leaders = log.filter("type = 'view' and key % 50 <> 13").groupBy(cluster.alias("cluster")).agg(F.max_by("key", "idx").alias("leader"))
+    return replication.routed(log.select("uid", "idx", cluster.alias("cluster"), F.col("key").alias("to")), leaders)
+
+
+@query("SELECT l.uid, l.idx, s.segment, l.key FROM log l JOIN segments s ON l.idx BETWEEN s.lo AND s.hi, maxidx m WHERE l.idx % 11 = 0 AND s.segment % 4 <> 0")
+def log_exec_plan(spark, sf):
+    log = views.log(spark, sf)
+    return logops.exec_plan(log.filter("idx % 11 = 0").select("uid", "idx"), views.segments(spark, sf).filter("segment % 4 <> 0"), log.select("uid", "idx", "key"))
+
+
+@query("SELECT l.uid, count(*) AS n, sum(key)::BIGINT AS total FROM logs l JOIN heads h ON h.uid = l.uid WHERE h.k % 2 = 0 OR idx > n // 2 GROUP BY l.uid")
+def log_fold_above_snapshot(spark, sf):
+    snaps = views.heads(spark, sf).filter("k % 2 <> 0").select("uid", F.expr("n div 2").alias("snap"))
+    return logops.above_snapshot(views.logs(spark, sf), snaps).groupBy("uid").agg(F.count("*").alias("n"), F.sum("key").alias("total"))
+
+
+@query("""WITH m AS (SELECT key AS uid, min(epoch_us(ts)) // 1000 AS a, max(epoch_us(ts)) // 1000 AS b FROM log GROUP BY key)
+    SELECT uid, a + 86400000 * i AS ms FROM m, range(1, 4000) t(i) WHERE a + 86400000 * i <= b""")
+def machine_ticks(spark, sf):
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    return machines.ticks(views.log(spark, sf).groupBy(F.col("key").alias("uid")).agg(F.min(ms).alias("started"), F.max(ms).alias("stopped")), 86_400_000)
+
+
+@query("""SELECT l.uid, max(idx) AS last_index, arg_max(term, idx) AS last_term, max(term) AS current_term, max(n) - 3 AS last_applied,
+    CASE WHEN max(h.k) % 2 = 0 THEN max(n) // 2 END AS snapshot_index, max(n) - 3 - CASE WHEN max(h.k) % 2 = 0 THEN max(n) // 2 ELSE 0 END AS snapshot_age,
+    max(idx) - CASE WHEN max(h.k) % 2 = 0 THEN max(n) // 2 ELSE 0 END AS entries_above FROM logs l JOIN heads h ON h.uid = l.uid GROUP BY l.uid""")
+def aux_overview(spark, sf):
+    heads = views.heads(spark, sf)
+    return machines.aux_overview(views.logs(spark, sf), heads.select("uid", (F.col("n") - 3).alias("last_applied")), heads.filter("k % 2 = 0").select("uid", F.expr("n div 2").alias("snap")))
+
+
+_FIELDS = [*counters.LOG, *counters.SERVER, *counters.METRICS]
+
+
+@query(f"""WITH f AS (SELECT unnest({_FIELDS!r}) AS field), s AS (SELECT uid AS name, CASE k % 3 WHEN 0 THEN 'commands' WHEN 1 THEN 'term' ELSE 'unknown' END AS field, count(*)::DOUBLE AS value FROM logs GROUP BY uid, k)
+    SELECT n.name, f.field, coalesce(s.value, 0) AS value FROM (SELECT DISTINCT name FROM s) n CROSS JOIN f LEFT JOIN s ON s.name = n.name AND s.field = f.field""")
+def counter_catalogue(spark, sf):
+    field = F.when(F.col("k") % 3 == 0, "commands").when(F.col("k") % 3 == 1, "term").otherwise("unknown")
+    samples = views.logs(spark, sf).groupBy(F.col("uid").alias("name"), field.alias("field")).agg(F.count("*").cast("double").alias("value"))
+    return counters.with_defaults(samples, counters.catalogue(spark))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from tideline.operators import indexset
+
 LOG_SCHEMA = StructType(
     [
         StructField("uid", StringType(), False),
@@ -70,12 +73,57 @@ def written_ranges(log: DataFrame) -> DataFrame:
     return log.groupBy("batch", "uid", "term").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count("*").alias("n"))
 
 
+def _digest(df: DataFrame) -> tuple[int, int]:
+    """Number of rows and sum of their hashes, whatever their order."""
+    hashed = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)") % 1_000_000_007)
+    n, total = df.agg(F.count("*"), F.coalesce(hashed, F.lit(0))).first()
+    return n, int(total)
+
+
+def write_checked(df: DataFrame, meta: dict, path: str) -> None:
+    """Rows, and after them one row of ``meta`` with their number and checksum: a write that
+    was cut short has no meta, and one that was damaged does not agree with it."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/state")
+    n, total = _digest(spark.read.parquet(f"{path}/state"))
+    spark.createDataFrame([meta | {"rows": n, "checksum": total}]).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Meta and rows; fails where the rows do not agree with the checksum."""
+    meta, rows = spark.read.parquet(f"{path}/meta"), spark.read.parquet(f"{path}/state")
+    want = meta.first()
+    if (want["rows"], want["checksum"]) != _digest(rows):
+        raise ValueError(f"bad checksum: {path}")
+    return meta, rows
+
+
+def is_valid(spark: SparkSession, path: str) -> bool:
+    try:
+        read_checked(spark, path)
+    except (AnalysisException, ValueError):
+        return False
+    return True
+
+
+def recover_snapshot(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of ``paths`` (newest first) that is whole; damaged ones are passed over."""
+    return next((p for p in paths if is_valid(spark, p)), None)
+
+
 def write_snapshot(state: DataFrame, meta: dict, path: str) -> None:
-    """State and a one-row meta table; the meta can be read without the state."""
-    spark = state.sparkSession
-    state.write.mode("overwrite").parquet(f"{path}/state")
-    spark.createDataFrame([meta]).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    """State and a one-row meta table with its checksum; the meta can be read without the state."""
+    write_checked(state, meta, path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/meta"), spark.read.parquet(f"{path}/state")
+    return read_checked(spark, path)
+
+
+def write_indexes(indexes: DataFrame, path: str) -> None:
+    """Live indexes (``owner, idx``) as ranges, with a checksum."""
+    write_checked(indexset.compress(indexes), {"kind": "indexes"}, path)
+
+
+def read_indexes(spark: SparkSession, path: str) -> DataFrame:
+    return indexset.expand(read_checked(spark, path)[1])
