@@ -132,6 +132,7 @@ def repeated_windows(contexts: list[bytes], width: int = WIDTH) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds the text and a key of 128 bits; equal texts share both."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumns({"_text": text, "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text, F.octet_length(text))})
 
@@ -154,7 +155,7 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 
 
 def _emit_contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    seen = set()  # copies of a text meet here, and one of them is enough
+    seen = set()  # rows repeated with the same id meet here, and one of them is enough
     for batch in batches:
         rows = []
         for k1, k2, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _binary(batch.column(2)), batch.column(3)):
@@ -224,8 +225,9 @@ def _release(spark: SparkSession) -> None:
 def repeated_spans(keyed: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     """``_k1, _k2, spans``: byte ranges to remove, for texts that have any."""
     spark = keyed.sparkSession
-    texts = keyed.filter(F.octet_length("_text") >= width).select("_k1", "_k2", "_text")
-    every = materialize(texts.mapInArrow(lambda it: _emit_anchors(it, width), "h long, c long, _k1 long, _k2 long, a int, b int"))
+    id_ = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")
+    texts = keyed.filter(F.octet_length("_text") >= width).select("_k1", "_k2", "_text", id_)
+    every = materialize(texts.select("_k1", "_k2", "_text").mapInArrow(lambda it: _emit_anchors(it, width), "h long, c long, _k1 long, _k2 long, a int, b int"))
     groups = every.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1")
     # Counts are written before they are joined: only then can Spark split a hot hash's rows.
     again = materialize(every.join(materialize(groups.select("h", "mixed")), "h"))
@@ -240,8 +242,11 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     marks = marks.unionByName(whole(mixed.join(kinds.filter("m > 1").select("h", "c"), ["h", "c"])))
     one = kinds.join(sizes, "h").select("r._k1", "r._k2", F.struct("h", "c", "m", "n", "r.a", "r.b").alias("x"))
     one = one.groupBy("_k1", "_k2").agg(F.collect_list("x").alias("wanted"))  # at most one per byte of the text
+    # One row of each group of copies gives the contexts, so that a hot text is read once.
+    first = texts.groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"))
+    one = materialize(one.join(materialize(first), ["_k1", "_k2"]))
     fields = "h long, c long, _k1 long, _k2 long, a int, m long, n long, ctx binary"
-    contexts = texts.join(one, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "wanted").mapInArrow(lambda it: _emit_contexts(it, width), fields)
+    contexts = texts.join(one, ["_k1", "_k2", "_id"]).select("_k1", "_k2", "_text", "wanted").mapInArrow(lambda it: _emit_contexts(it, width), fields)
     contexts = materialize(contexts)
     _release(spark)
     spot = contexts.filter(F.col("n") <= group).repartition(partitions(spark), "h").sortWithinPartitions("h", "c")
