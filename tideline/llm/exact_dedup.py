@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import drop_rows, few, id_and_text, materialize
+from tideline.llm.common import discard, drop_rows, few, id_and_text, materialize
 
 PREFIX_CHARS = 128
 _LENGTH, _START = "__length", "__start"  # columns added to a caller's table
@@ -34,7 +34,9 @@ def _crowded(keyed: DataFrame) -> DataFrame:
         return materialize(rows.groupBy(key).count().filter("count > 1").select(key))
 
     lengths = shared(keyed, _LENGTH)
-    return shared(keyed.join(F.broadcast(lengths) if few(lengths) else lengths, _LENGTH, "left_semi"), _START)
+    crowded = shared(keyed.join(F.broadcast(lengths) if few(lengths) else lengths, _LENGTH, "left_semi"), _START)
+    discard(lengths)
+    return crowded
 
 
 def _marked(keyed: DataFrame, crowded: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bucket_join import bucket_join
-from tideline.llm.common import drop_rows, few, id_and_text, materialize
+from tideline.llm.common import discard, drop_rows, few, id_and_text, materialize
 from tideline.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -265,6 +265,8 @@ def similar_pairs(sig: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     counts = crowd.select("bucket", F.col("n").alias("stored"), F.col("n").alias("probing"))
     pairs = bucket_join(rows, counts, _close(REACH), link=_nearest).filter("root is not null").select("id", "root").distinct()
     pairs = materialize(pairs)
+    discard(each)
+    discard(crowd)
     ids = pairs.select(F.explode(F.array("id", "root")).alias("doc_id")).distinct()
     texts = docs.join(materialize(ids), "doc_id", "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("a")), "id")
@@ -276,7 +278,9 @@ def similar_pairs(sig: DataFrame, docs: DataFrame, shingle: int, similarity: flo
             good = [jaccard(x.as_py().encode(), y.as_py().encode(), shingle) >= similarity for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "root"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(both.mapInArrow(verified, "id long, root long").distinct())
+    good = materialize(both.mapInArrow(verified, "id long, root long").distinct())
+    discard(pairs)
+    return good
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
