@@ -206,9 +206,8 @@ def test_recovery_tolerates_only_a_torn_end(spark):
         logops.recover(frame([*torn, ("a", 14, 7, 1, b"x", zlib.crc32(b"x"))]), registry, floors).collect()
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_dequeues_of_an_empty_queue_take_no_number(spark, block):
-    rng = random.Random(block)
+def test_dequeues_of_an_empty_queue_take_no_number(spark):
+    rng = random.Random(3)
     ops = [(q, i, rng.choice(["enq", "deq", "deq"] if rng.random() < 0.6 else ["enq"])) for q in (1, 2) for i in range(1, 80)]
     want, held = [], {1: [], 2: []}
     for q, i, op in ops:
@@ -216,7 +215,7 @@ def test_dequeues_of_an_empty_queue_take_no_number(spark, block):
             held[q].append(i)
         else:
             want.append((q, i, held[q].pop(0) if held[q] else None))
-    got = [tuple(r) for r in queues.matched(spark.createDataFrame(ops, "queue long, idx long, op string"), block).collect()]
+    got = [tuple(r) for r in queues.matched(spark.createDataFrame(ops, "queue long, idx long, op string").repartition(3)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
@@ -236,6 +235,18 @@ def test_logs_do_not_share_indexes(spark):
     assert [r.payload for r in logops.sparse_read(log, wanted, "stop").collect()] == ["x"]
 
 
+def test_columns_as_python_values():
+    import pyarrow as pa
+
+    from tideline.functions.ordered import _values
+
+    for column in (
+        pa.array([1, None, 3]), pa.array([1.5, None]), pa.array([True, None, False]), pa.array(["a", None, "b", "a"]), pa.array([[1, 2], None, [], [3]]),
+        pa.array([[1, None], [2]]), pa.array([None, None], pa.int64()), pa.array([], pa.string()), pa.array([[["a"], []], None]), pa.array([{"x": 1}]), pa.array([[1, 2], [3]]).slice(1),
+    ):
+        assert _values(column) == column.to_pylist()
+
+
 def test_checked_files(spark, tmp_path):
     from tideline.sources import log_table
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,28 @@ from pyspark.sql import functions as F
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python values. Going through numpy takes a tenth of the time of one scalar each."""
+    kind, nulls = column.type, column.null_count
+    if nulls == len(column):
+        return [None] * nulls
+    if pa.types.is_list(kind) and column.values.null_count == 0:
+        flat, ends = _values(column.values), column.offsets.to_numpy().tolist()
+        out = [flat[a:b] for a, b in zip(ends, ends[1:])]
+    elif pa.types.is_string(kind):
+        coded = column.dictionary_encode()
+        words = [*coded.dictionary.to_pylist(), None]
+        return [words[i] for i in coded.indices.fill_null(len(words) - 1).to_numpy().tolist()]
+    elif pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind):
+        out = (column.fill_null(False if pa.types.is_boolean(kind) else 0) if nulls else column).to_numpy(zero_copy_only=False).tolist()
+    else:
+        return column.to_pylist()
+    if nulls:
+        for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)):
+            out[i] = None
+    return out
+
+
 def ordered_pass(df: DataFrame, by: list[str], order: list[str | Column], uses: list[str], fields: dict[str, str], start: Callable, step: Callable) -> DataFrame:
     """``df`` with the columns ``fields`` (name to type) that ``step`` gives for each row.
 
@@ -31,12 +54,12 @@ def ordered_pass(df: DataFrame, by: list[str], order: list[str | Column], uses:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+            columns = [_values(batch.column(batch.schema.get_field_index(n))) for n in names]
             outs = []
-            for row in zip(*columns):
-                if row[:width] != key:
-                    key, state = row[:width], start()
-                state, out = step(state, *row[width:])
+            for now, row in zip(zip(*columns[:width]), zip(*columns[width:])):
+                if now != key:
+                    key, state = now, start()
+                state, out = step(state, *row)
                 outs.append(out)
             added = [pa.array(x, k) for x, k in zip(zip(*outs), kinds)] if outs else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *fields])
@@ -63,16 +86,16 @@ def ordered_rows(df: DataFrame, by: list[str], order: list[str | Column], uses:
             return batch
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-            for row in zip(*columns):
-                if row[:width] != key:
+            columns = [_values(batch.column(batch.schema.get_field_index(n))) for n in names]
+            for now, row in zip(zip(*columns[:width]), zip(*columns[width:])):
+                if now != key:
                     if finish and key is not None:
                         out += [(*key, *x) for x in finish(state)]
-                    key, state = row[:width], start()
-                if made := step(state, *row[width:]):
+                    key, state = now, start()
+                if made := step(state, *row):
                     out += [(*key, *x) for x in made]
-                if len(out) >= 8192:
-                    yield flush()
+                    if len(out) >= 8192:
+                        yield flush()
         if finish and key is not None:
             out += [(*key, *x) for x in finish(state)]
         if out:

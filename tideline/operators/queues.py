@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.functions import scan
+from tideline.functions.ordered import ordered_rows
 
 
 def exactly_once(deliveries: DataFrame) -> DataFrame:
@@ -43,21 +45,14 @@ def low_watermark(messages: DataFrame, settled: DataFrame) -> DataFrame:
     return messages.join(settled, ["producer", "seqno"], "left_anti").groupBy("producer").agg(F.min("seqno").alias("smallest"))
 
 
-def matched(ops: DataFrame, block: int = scan.BLOCK) -> DataFrame:
-    """``queue, deq_idx, enq_idx``: the message that each dequeue gets, null where the queue
-    was empty at that point.
-
-    A dequeue finds the queue empty when dequeues outnumber enqueues by more than ever
-    before, so the number of such dequeues is the running maximum of the difference; what
-    is left of the k dequeues so far have taken the first messages in order."""
-    deq = (F.col("op") == "deq").cast("long")
-    rows = ops.select("queue", "idx", "op", deq.alias("_d"), (1 - 2 * deq).alias("_step"))
-    rows = scan.running_sum(rows, "_d", "_deqs", ["queue"], "idx", block)
-    rows = scan.running_sum(rows, "_step", "_level", ["queue"], "idx", block)
-    short = lambda level: F.greatest(-level, F.lit(0).cast("long"))  # noqa: E731  dequeues beyond enqueues
-    rows = rows.withColumn("_was", short(F.col("_level") - F.col("_step")))
-    rows = scan.running_max(rows, "_was", "_before", ["queue"], "idx", block).withColumn("_short", short(F.col("_level")))
-    served = F.when(F.col("_short") <= F.col("_before"), F.col("_deqs") - F.col("_before"))
-    rows = rows.withColumn("_k", F.when(F.col("op") == "enq", F.col("_level") + F.col("_deqs")).otherwise(served))
-    enq = rows.filter("op = 'enq'").select("queue", "_k", F.col("idx").alias("enq_idx"))
-    return rows.filter("op = 'deq'").join(enq, ["queue", "_k"], "left").select("queue", F.col("idx").alias("deq_idx"), "enq_idx")
+def matched(ops: DataFrame) -> DataFrame:
+    """``queue, deq_idx, enq_idx``: the message that each dequeue (``op``: enq, deq) gets, null where
+    the queue was empty at that point. One ordered pass; the messages in wait are held."""
+
+    def step(waiting: deque, idx: int, op: str) -> list:
+        if op == "enq":
+            waiting.append(idx)
+            return []
+        return [(idx, waiting.popleft() if waiting else None)]
+
+    return ordered_rows(ops, ["queue"], ["idx"], ["idx", "op"], "queue long, deq_idx long, enq_idx long", deque, step)
