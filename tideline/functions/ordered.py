@@ -40,14 +40,16 @@ def _values(column: pa.Array) -> list:
     return out
 
 
-def ordered_pass(df: DataFrame, by: list[str], order: list[str | Column], uses: list[str], fields: dict[str, str], start: Callable, step: Callable) -> DataFrame:
-    """``df`` with the columns ``fields`` (name to type) that ``step`` gives for each row.
+def ordered_pass(df: DataFrame, by: list[str], order: list[str | Column], uses: list[str], fields: dict[str, str], start: Callable, step: Callable, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with the columns ``fields`` (name to type) that ``step`` gives
+    for each row. What only the order needs does not travel to the workers.
 
     Of each key ``by`` the rows come in ``order``. ``start()`` is a key's first state;
     ``step(state, *values of uses)`` returns the next state and a tuple of outputs.
     """
     width = len(by)
-    schema = df.limit(0).select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in fields.items())).schema
+    kept = keep or df.columns
+    schema = df.limit(0).select(*kept, *(F.lit(None).cast(kind).alias(name) for name, kind in fields.items())).schema
     kinds = [_KINDS[k] for k in fields.values()]
     names = [*by, *uses]
 
@@ -65,7 +67,7 @@ def ordered_pass(df: DataFrame, by: list[str], order: list[str | Column], uses:
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *fields])
 
     keys = [F.col(b) for b in by]
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*kept).mapInArrow(run, schema)
 
 
 def ordered_rows(df: DataFrame, by: list[str], order: list[str | Column], uses: list[str], schema: str, start: Callable, step: Callable, finish: Callable | None = None) -> DataFrame:
@@ -101,4 +103,4 @@ def ordered_rows(df: DataFrame, by: list[str], order: list[str | Column], uses:
         if out:
             yield flush()
 
-    return df.select(*names, *[o for o in order if isinstance(o, str) and o not in names]).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, fields)
+    return df.select(*names, *[o for o in order if isinstance(o, str) and o not in names]).repartition(*keys).sortWithinPartitions(*keys, *order).select(*names).mapInArrow(run, fields)

@@ -165,7 +165,8 @@ def admission(wal: DataFrame, floors: DataFrame | None = None) -> DataFrame:
         return (last, False, n + 1), (n, "resend" if in_order else "dropped", False)
 
     out = ordered_pass(
-        rows, ["uid"], ["arrival"], ["idx", "prev", "smallest"], {"n": "int", "status": "string", "truncates": "boolean"}, lambda: (None, True, 0), step
+        rows, ["uid"], ["arrival"], ["idx", "prev", "smallest"], {"n": "int", "status": "string", "truncates": "boolean"}, lambda: (None, True, 0), step,
+        ["uid", "idx", "term", "prev", "smallest"],
     )
     return out.select("uid", "idx", "term", "n", "status", "truncates")
 
