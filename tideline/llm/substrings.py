@@ -239,7 +239,9 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     kinds = mixed.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("_k1", "_k2", "a", "b")).alias("r"))
     kinds = materialize(kinds)
     sizes = materialize(kinds.groupBy("h").agg(F.count("*").alias("n")))
-    marks = marks.unionByName(whole(mixed.join(kinds.filter("m > 1").select("h", "c"), ["h", "c"])))
+    # A join of its own, so that Spark can split the rows of a context that very many texts have.
+    equal = materialize(whole(mixed.join(kinds.filter("m > 1").select("h", "c"), ["h", "c"])))
+    marks = marks.unionByName(equal)
     one = kinds.join(sizes, "h").select("r._k1", "r._k2", F.struct("h", "c", "m", "n", "r.a", "r.b").alias("x"))
     one = one.groupBy("_k1", "_k2").agg(F.collect_list("x").alias("wanted"))  # at most one per byte of the text
     # One row of each group of copies gives the contexts, so that a hot text is read once.
