@@ -202,6 +202,28 @@ def test_a_large_group_of_similar_texts(spark):
     assert len(got) == 3000 and {r.component_id for r in got} == {0}
 
 
+def test_every_pair_of_a_crowd_is_a_candidate(spark):
+    """Texts of one family, few pairs of which are similar enough: neither the nearest
+    fingerprints nor the first texts name them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(400):
+        text = list(base)
+        for at in rng.sample(range(100), 2):
+            text[at] = f"v{at}.{rng.randrange(3)}"
+        texts.append(" ".join(text))
+    rows = list(enumerate(texts))
+    sets = {i: plain_shingles(t, 5) for i, t in rows}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    alike = [(a, b) for a in sets for b in range(a) if plain_jaccard(sets[a], sets[b]) >= 0.84]
+    want = components(sets, alike + [(a, b) for a in sets for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 1])
+    assert len(set(want.values())) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, similarity=0.84, radius=1).collect()}
+    assert got == want
+
+
 def test_vantage_shards_lose_no_pair(spark):
     rng = np.random.default_rng(2)
     far = rng.integers(0, 2**63, 3000, dtype=np.uint64)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.bucket_join import bucket_join
+from tideline.llm.bucket_join import TILE, bucket_join
 from tideline.llm.common import discard, drop_rows, few, id_and_text, materialize
 from tideline.llm.components import connected_components
 
@@ -30,11 +30,8 @@ SHARD = 2048  # distinct fingerprints a shard is meant to hold
 SAMPLE = 1 << 15  # fingerprints, at most, from which the tree is grown
 _BITS = np.arange(64, dtype=np.uint64)
 _BLOCK = 1 << 15  # shingles counted at once
-# For texts of a given similarity: each key is made from the least shingles under KEY_SHINGLES
-# orders, so texts of Jaccard similarity j share one of KEYS with 1 - (1 - j**KEY_SHINGLES)**KEYS.
-KEYS, KEY_SHINGLES = 16, 4
-REACH = 20  # bits by which fingerprints of such texts differ at most, give or take one in 1e4
-_ORDERS = np.random.default_rng(17).integers(1, 2**63, KEYS * KEY_SHINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COMMON_SAMPLE, COMMON = 8192, 200_000  # documents, about, to learn common shingles from, and how many, at most, are learned
+_ROW = np.dtype([("fp", ">u8"), ("id", ">i8"), ("label", ">i8"), ("size", ">i8"), ("pos", ">i8")])
 
 
 def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -209,37 +206,84 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _signature(text: bytes, shingle: int) -> tuple[int, list[int]]:
-    """Fingerprint, and the keys that similar texts are likely to share."""
-    blocks = list(_hashes(text, shingle))
-    if not blocks:
-        return 0, []
-    low = np.full(len(_ORDERS), np.iinfo(np.uint64).max)
-    for h in blocks:
-        for lo in range(0, len(h), 512):
-            low = np.minimum(low, (h[lo : lo + 512, None] * _ORDERS).min(0))
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(low.reshape(KEYS, KEY_SHINGLES))]
-    return _majority(blocks), keys
+def _ordered(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Distinct shingles in the one order of all documents: common ones (``common``, sorted
+    rows of shingle and count) come last by their counts, the others before by hash."""
+    if not len(common):
+        return shingles
+    at = np.minimum(np.searchsorted(common["shingle"], shingles), len(common) - 1)
+    return shingles[np.lexsort((shingles, np.where(common["shingle"][at] == shingles, common["n"][at], 0)))]
+
 
+def _slack(x: float) -> int:
+    """The next whole number, where what is beyond ``x`` by rounding alone counts as ``x``."""
+    return int(np.ceil(x - 1e-9))
 
-def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Fingerprint, a key of the set of shingles, its size and its prefix: of two sets as
+    similar as asked, the prefixes share a shingle."""
+    kinds = (pa.int64(), pa.uint64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary() if pa.types.is_string(batch.column(1).type) else pa.large_binary())
-        found = [_signature(t.as_py(), shingle) for t in texts]
-        fps = np.array([f for f, _ in found], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([k for _, k in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
-
-
-def _nearest(q_ids: np.ndarray, h_ids: np.ndarray, qi: np.ndarray, hi: np.ndarray, q: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Of each probing row the match with the fewest differing bits and that of the smallest id."""
-    other = q_ids[qi] != h_ids[hi]
-    qi, hi = qi[other], hi[other]
-    bits = np.bitwise_count(np.frombuffer(q, dtype="<u8")[qi] ^ np.frombuffer(h, dtype="<u8")[hi])
-    pairs = []
-    for order in (np.lexsort((h_ids[hi], bits, qi)), np.lexsort((h_ids[hi], qi))):
-        first = order[np.flatnonzero(np.concatenate([[True], np.diff(qi[order]) != 0]))] if len(order) else order
-        pairs.append(np.stack([q_ids[qi[first]], h_ids[hi[first]]]))
-    a, b = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+        for lo in range(0, batch.num_rows, 1024):
+            part, rows = batch.slice(lo, 1024), []
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
+                blocks = list(_hashes(text.as_py().encode(), shingle))
+                x = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *blocks]))
+                prefix = _ordered(x, common)[: max(0, len(x) - _slack(similarity * len(x)) + 1)]
+                rows.append((doc_id, _majority(blocks), xxhash.xxh3_128_digest(x.tobytes()), len(x), prefix.view(np.int64)))
+            cols = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)]
+            cols[1] = cols[1].view(pa.int64())
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "key", "size", "prefix"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(1):
+            x = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *_hashes(text.as_py().encode(), shingle)]))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["shingle"])
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of three or more documents of a sample. They only set an order, so what the
+    sample lacks costs time and no pair."""
+    every = max(1, -(-docs.count() // COMMON_SAMPLE))
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "text")
+    found = drawn.mapInArrow(lambda it: _shingles(it, shingle), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = found.filter("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    rows = np.array([(r.shingle % 2**64, r.n) for r in found], dtype=[("shingle", "<u8"), ("n", "<i8")])
+    return np.sort(rows, order="shingle")
+
+
+def _partners(similarity: float, every: bool):
+    """Matches of other labels whose sizes, and what is left of them behind the shared shingle,
+    allow the similarity: all of them, or the nearest fingerprint and the smallest id."""
+
+    def match(q: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray]:
+        q, h = (np.frombuffer(x, dtype=_ROW) for x in (q, h))
+        order = np.argsort(h["id"], kind="stable")
+        fp, ids, label, size, pos = (h[n][order].astype(t) for n, t in zip(_ROW.names, ("u8", "i8", "i8", "i8", "i8")))
+        mine = {n: q[n].astype("u8" if n == "fp" else "i8")[:, None] for n in _ROW.names}
+        qi, hi = [], []
+        for i in range(0, len(q), 256):
+            a = {n: x[i : i + 256] for n, x in mine.items()}
+            least = similarity / (1 + similarity) * (a["size"] + size) - 1e-6  # shingles they must share
+            fit = (a["label"] != label) & (a["id"] != ids) & (np.minimum(a["size"] - a["pos"], size - pos) >= least)
+            if every:
+                x, y = np.nonzero(fit & (a["id"] > ids))
+            else:
+                some = np.flatnonzero(fit.any(1))
+                bits = np.where(fit[some], np.bitwise_count(a["fp"][some] ^ fp), 65)
+                x, y = np.tile(some, 2), np.concatenate([bits.argmin(1), fit[some].argmax(1)])
+            qi.append(x + i)
+            hi.append(order[y])
+        return np.concatenate(qi), np.concatenate(hi)
+
+    return match
+
+
+def _pairs(q_ids: np.ndarray, h_ids: np.ndarray, qi: np.ndarray, hi: np.ndarray, q: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.unique(np.sort(np.stack([q_ids[qi], h_ids[hi]]), axis=0), axis=1)
     return b, a
 
 
@@ -250,23 +294,8 @@ def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def similar_pairs(sig: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``id, root``: pairs of documents, of different fingerprints, whose sets of shingles have a
-    Jaccard similarity of ``similarity`` or more. Texts that share a key and differ in ``REACH``
-    bits at most are candidates; of each one's candidates under a key the nearest and the
-    one of the smallest id are compared by their texts."""
-    reps = sig.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"))
-    each = materialize(reps.select("id", "fp", F.explode("keys").alias("bucket")))
-    crowd = materialize(each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    held = each.join(F.broadcast(crowd.select("bucket")) if few(crowd) else crowd.select("bucket"), "bucket")
-    role = F.explode(F.array(F.lit(0), F.lit(1))).alias("role")
-    # Bytes in another order differ in as many bits.
-    rows = held.select("bucket", role, "id", F.lit(1).cast("long").alias("w"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("payload"))
-    counts = crowd.select("bucket", F.col("n").alias("stored"), F.col("n").alias("probing"))
-    pairs = bucket_join(rows, counts, _close(REACH), link=_nearest).filter("root is not null").select("id", "root").distinct()
-    pairs = materialize(pairs)
-    discard(each)
-    discard(crowd)
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``id, root``) whose texts are as similar as asked."""
     ids = pairs.select(F.explode(F.array("id", "root")).alias("doc_id")).distinct()
     texts = docs.join(materialize(ids), "doc_id", "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("a")), "id")
@@ -278,26 +307,66 @@ def similar_pairs(sig: DataFrame, docs: DataFrame, shingle: int, similarity: flo
             good = [jaccard(x.as_py().encode(), y.as_py().encode(), shingle) >= similarity for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "root"]).filter(pa.array(good, pa.bool_()))
 
-    good = materialize(both.mapInArrow(verified, "id long, root long").distinct())
+    return materialize(both.mapInArrow(verified, "id long, root long").distinct())
+
+
+def similar_links(sig: DataFrame, docs: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``node, component`` of the groups that ``links`` (``id, root``) and all pairs of a Jaccard
+    similarity of ``similarity`` or more connect.
+
+    Of such a pair the prefixes share a shingle, so every pair is a candidate in some bucket. First
+    each document's nearest and first candidate of a bucket are compared by their texts; then
+    all candidates which that has left in different groups."""
+    first = sig.groupBy("key").agg(F.min("doc_id").alias("id"))
+    copies = materialize(sig.select("doc_id", "key").join(first, "key").filter("doc_id != id").select(F.col("doc_id").alias("id"), F.col("id").alias("root"), "key"))
+    own = drop_rows(sig.withColumnRenamed("doc_id", "id"), copies.select("id", "key"), ["id", "key"])
+    each = materialize(own.select("id", "fp", "size", F.posexplode("prefix").alias("pos", "bucket")))
+    crowd = materialize(each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    held = each.join(F.broadcast(crowd.select("bucket")) if few(crowd) else crowd.select("bucket"), "bucket")
+    held = materialize(held)
+    discard(each)
+    discard(crowd)
+    links = links.unionByName(copies.select("id", "root"))
+
+    def candidates(rows: DataFrame, every: bool) -> DataFrame:
+        counts = rows.groupBy("bucket").agg(F.count("*").alias("stored"), F.count("*").alias("probing"))
+        payload = F.concat(*(F.unhex(F.lpad(F.hex(F.col(n).cast("long")), 16, "0")) for n in _ROW.names))
+        rows = rows.select("bucket", F.lit(2).alias("role"), "id", F.lit(1).cast("long").alias("w"), payload.alias("payload"))
+        found = bucket_join(rows, counts, _partners(similarity, every), probes=TILE, link=_pairs)
+        return materialize(found.filter("root is not null").select("id", "root").distinct())
+
+    pairs = candidates(held.withColumn("label", F.col("id")), False)
+    links = materialize(links.unionByName(_verified(pairs, docs, shingle, similarity)))
+    discard(copies)
+    groups = materialize(connected_components(links, "id", "root"))
+    rest = materialize(held.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
+    discard(held)
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
+    left = candidates(rest.join(mixed, "bucket", "left_semi"), True).join(pairs, ["id", "root"], "left_anti")
+    more = _verified(materialize(left), docs, shingle, similarity)
+    discard(rest)
     discard(pairs)
-    return good
+    if more.isEmpty():
+        return groups
+    return connected_components(links.unionByName(more), "id", "root")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """``doc_id, component_id``: groups of documents linked by fingerprints within ``radius`` bits,
-    through the vantage-point tree, or by a Jaccard similarity of ``similarity`` or more.
+    through the vantage-point tree, or by a Jaccard similarity of ``similarity`` (above 0) or more.
 
     At 0.8 fingerprints are some 3 to 17 bits apart. No bound on distances prunes a tree of
-    64 bits there, so those pairs come from shared keys (see ``KEYS``; at 0.8 a pair shares none
-    with 2e-4) and are verified by their texts. Null texts count as empty, texts without words are
+    64 bits there, so those pairs come from shared shingles of the sets' prefixes, which lose none, and
+    are verified by their texts. Null texts count as empty, texts without words are
     alike, rows without an id have no group. Empty in, empty out.
     """
     rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
-    sig = materialize(rows.mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, fp long, keys array<long>"))
+    common = common_shingles(rows, shingle)
+    fields = "doc_id long, fp long, key binary, size long, prefix array<long>"
+    sig = materialize(rows.mapInArrow(lambda it: _signatures(it, shingle, similarity, common), fields))
     near = sig.select("doc_id", "fp").join(materialize(near_duplicates(sig.select("doc_id", "fp"), radius)), "fp")
-    links = near.select(F.col("doc_id").alias("id"), F.col("component_id").alias("root"))
-    links = materialize(links.unionByName(similar_pairs(sig, rows, shingle, similarity)))
-    found = connected_components(links.filter("id != root"), "id", "root").withColumnRenamed("node", "doc_id")
+    links = near.select(F.col("doc_id").alias("id"), F.col("component_id").alias("root")).filter("id != root")
+    found = similar_links(sig, rows, materialize(links), shingle, similarity).withColumnRenamed("node", "doc_id")
     alone = sig.select("doc_id").distinct().join(found.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("component_id"))
     return found.select("doc_id", F.col("component").alias("component_id")).unionByName(alone)
 
