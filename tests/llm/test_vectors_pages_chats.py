@@ -152,6 +152,20 @@ def test_long_pages_with_repeats_inside_and_outside_articles(spark):
     assert got[9][0] == want[9][0] and all(got[i] == want[i] for i in range(4))
 
 
+def test_articles_are_in_the_order(spark):
+    lead, quote = "a lead of nine words that an article begins", "a passage of seven words in two"
+    rows = [
+        (1, "http://a.example/1", f"<article><p>{lead}</p><p>{quote}</p><p>own words of the first article here</p></article>"),
+        (2, "http://a.example/2", f"<div>menu</div><article><p>{quote}</p><p>what the second says is its own</p></article>"),
+        (3, "http://a.example/3", f"<div>{lead}</div><p>here is a page without any article of its own</p>"),
+        (4, "http://b.example/4", f"<div>{lead}</div>"),
+    ]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].text == f"{lead}\n{quote}\nown words of the first article here" and got[2].text == f"{quote}\nwhat the second says is its own"
+    assert got[3].text == "here is a page without any article of its own" and got[4].text == lead
+    assert [(got[i].n_repeated, got[i].n_article_repeated) for i in (1, 2, 3, 4)] == [(0, 18), (0, 8), (10, 0), (0, 0)]
+
+
 def test_repeat_lengths_of_the_order(spark):
     streams = [("u1", "h", b"1", "a b c d e f g x1 x2".split()), ("u2", "h", b"2", "y1 a b c d e f g y2".split()), ("u3", "h", b"3", "a b c d e f z1".split()), ("u4", "g", b"4", "a b c d e f g".split())]
     rows = [(u, h, k, t, [html_text._gram(t[i : i + 6]) for i in range(len(t) - 5)]) for u, h, k, t in streams]
