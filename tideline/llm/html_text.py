@@ -235,8 +235,9 @@ def _streams(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[
                 place = _places(host, [g or 0 for g in grams]) >> np.uint64(_PLACE)
                 often = (bitmap[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1
                 grams = [g if some else None for g, some in zip(grams, often.tolist())]
-                if any(g is not None for g in grams):
-                    rows.append((url, host, key, tokens, grams))
+                near = {p for i, g in enumerate(grams) if g is not None for p in range(i, i + RUN)}
+                if near:  # no other token is looked at again
+                    rows.append((url, host, key, [t if p in near else "" for p, t in enumerate(tokens)], grams))
             if rows:
                 cols = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=["url", "host", "_key", "tokens", "grams"])
