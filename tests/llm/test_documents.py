@@ -224,6 +224,43 @@ def test_every_pair_of_a_crowd_is_a_candidate(spark):
     assert got == want
 
 
+def test_the_pairs_of_a_family_are_not_written(spark, monkeypatch):
+    """Nearly all pairs of a family are just below the similarity: what leaves the workers grows with
+    its texts, and the few pairs that are similar enough are found."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(0, 200, 5), 2):
+            text[at] = f"v{at}.{i}"
+        texts.append(" ".join(text))
+    texts += [f"{t} end" for t in texts[::60]]
+    sets = {i: plain_shingles(t, 5) for i, t in enumerate(texts)}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in enumerate(texts)}
+    alike = [(a, b) for a in sets for b in range(a) if plain_jaccard(sets[a], sets[b]) >= 0.86]
+    want = components(sets, alike + [(a, b) for a in sets for b in range(a) if (fps[a] ^ fps[b]).bit_count() == 0])
+    compared, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(simhash, "FAMILY", 64, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, similarity=0.86, radius=0).collect()}
+    assert got == want and len(set(want.values())) > 20
+    assert max(compared) < 20 * len(texts)
+
+
+def test_only_texts_that_can_have_a_partner_are_spread(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(20)]
+    texts += [" ".join([*texts[0].split()[:90], *(f"x{i}" for i in range(10))]), " ".join([*texts[1].split()[:50], *(f"y{i}" for i in range(50))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bitmap, common = simhash.shared_shingles(df, 5), simhash.common_shingles(df, 5)
+    fields = "doc_id long, fp long, key binary, size long, skipped long, prefix array<long>"
+    rows = df.mapInArrow(lambda it: simhash._signatures(it, 5, 0.8, common, bitmap), fields).collect()
+    assert {r.doc_id for r in rows if r.prefix} == {0, 20}
+    assert all(r.skipped + len(r.prefix) == 20 for r in rows if r.prefix)  # a prefix of 96 is 20
+
+
 def test_vantage_shards_lose_no_pair(spark):
     rng = np.random.default_rng(2)
     far = rng.integers(0, 2**63, 3000, dtype=np.uint64)

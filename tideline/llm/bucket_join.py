@@ -51,12 +51,15 @@ def _numpy(batch: pa.RecordBatch, name: str) -> np.ndarray:
 def _tiles(batches: Iterator[pa.RecordBatch], match: Callable, link: Callable | None) -> Iterator[pa.RecordBatch]:
     key, ids, weights, held, both = None, [], [], [], False
     block = None
+    none_matched = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["id", "links", "root"])
 
     def stored() -> tuple:
         return np.concatenate(ids), np.concatenate(weights), b"".join(held)
 
     def joined(q_ids: np.ndarray, q: bytes, h_ids: np.ndarray, h_w: np.ndarray, h: bytes) -> pa.RecordBatch:
         qi, hj = match(q, h)
+        if not len(qi):
+            return none_matched
         links = np.bincount(qi, weights=h_w[hj], minlength=len(q_ids)).astype(np.int64)
         some = np.flatnonzero(links)
         nodes, roots = link(q_ids, h_ids, qi, hj, q, h) if link else forest(q_ids, h_ids, qi, hj)
@@ -101,6 +104,19 @@ def _tiles(batches: Iterator[pa.RecordBatch], match: Callable, link: Callable |
         yield within()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], at_once: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if len(held) == at_once or batch.num_rows > at_once:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def bucket_join(rows: DataFrame, counts: DataFrame, match: Callable, tile: int = TILE, probes: int = PROBES, link: Callable | None = None) -> DataFrame:
     """``id, links, root``: what probing rows matched (``links``, a sum of stored
     weights, ``root`` null) and forest edges ``id - root`` (``links`` null).
@@ -139,4 +155,4 @@ def bucket_join(rows: DataFrame, counts: DataFrame, match: Callable, tile: int =
         "payload",
     )
     placed = at.repartition(partitions(rows.sparkSession), "bucket", "t", "s").sortWithinPartitions("bucket", "t", "s", "role")
-    return placed.mapInArrow(lambda it: _tiles(it, match, link), SCHEMA)
+    return placed.mapInArrow(lambda it: _gathered(_tiles(it, match, link)), SCHEMA)

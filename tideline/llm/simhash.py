@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.bucket_join import TILE, bucket_join
+from tideline.llm import several
+from tideline.llm.bucket_join import TILE, bucket_join, forest
 from tideline.llm.common import discard, drop_rows, few, id_and_text, materialize
 from tideline.llm.components import connected_components
 
@@ -31,6 +32,9 @@ SAMPLE = 1 << 15  # fingerprints, at most, from which the tree is grown
 _BITS = np.arange(64, dtype=np.uint64)
 _BLOCK = 1 << 15  # shingles counted at once
 COMMON_SAMPLE, COMMON = 8192, 200_000  # documents, about, to learn common shingles from, and how many, at most, are learned
+DENSE = 4  # candidate pairs a row, at most, that leave the worker
+FAMILY = 512  # texts of a family that are compared at once
+_WIDE = 2048  # shingles of them that are counted at once
 _ROW = np.dtype([("fp", ">u8"), ("id", ">i8"), ("label", ">i8"), ("size", ">i8"), ("pos", ">i8")])
 
 
@@ -206,13 +210,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _ordered(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Distinct shingles in the one order of all documents: common ones (``common``, sorted
-    rows of shingle and count) come last by their counts, the others before by hash."""
-    if not len(common):
-        return shingles
-    at = np.minimum(np.searchsorted(common["shingle"], shingles), len(common) - 1)
-    return shingles[np.lexsort((shingles, np.where(common["shingle"][at] == shingles, common["n"][at], 0)))]
+def _set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *_hashes(text, shingle)]))
+
+
+def _ordered(shingles: np.ndarray, shared: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Distinct shingles in the one order of all documents: those that only one has, then the
+    ``shared`` ones, of which the common (``common``, sorted rows of shingle and count) come
+    last by their counts."""
+    n = np.zeros(len(shingles), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common["shingle"], shingles), len(common) - 1)
+        n = np.where(common["shingle"][at] == shingles, common["n"][at], 0)
+    return shingles[np.lexsort((shingles, n, shared))]
 
 
 def _slack(x: float) -> int:
@@ -220,28 +231,45 @@ def _slack(x: float) -> int:
     return int(np.ceil(x - 1e-9))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _places(shingles: np.ndarray) -> np.ndarray:
+    return shingles >> np.uint64(64 - several.BITS)
+
+
+def shared_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """A bitmap of the shingles that several documents may have, of some 4 characters a bit, 64 MB at most."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = docs.mapInArrow(
+        lambda it: several.sketches(np.unique(_places(_set(t.as_py().encode(), shingle))) for batch in it for t in batch.column(1)),
+        "bucket int, hashes binary",
+    )
+    return several.bitmap(found, min(29, max(20, (chars // 4).bit_length())))
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float, common: np.ndarray, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Fingerprint, a key of the set of shingles, its size and its prefix: of two sets as
-    similar as asked, the prefixes share a shingle."""
-    kinds = (pa.int64(), pa.uint64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+    similar as asked, the prefixes share a shingle. Shingles that only one document has come
+    first, ``skipped`` of them, and are left out, as nothing meets them. A set that shares fewer
+    shingles with all others than a partner would need has no prefix."""
+    kinds = (pa.int64(), pa.uint64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part, rows = batch.slice(lo, 1024), []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
                 blocks = list(_hashes(text.as_py().encode(), shingle))
                 x = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *blocks]))
-                prefix = _ordered(x, common)[: max(0, len(x) - _slack(similarity * len(x)) + 1)]
-                rows.append((doc_id, _majority(blocks), xxhash.xxh3_128_digest(x.tobytes()), len(x), prefix.view(np.int64)))
+                shared = several.marked(bitmap, _places(x))
+                alone = len(x) - int(shared.sum())
+                prefix = _ordered(x, shared, common)[alone : max(alone, len(x) - _slack(similarity * len(x)) + 1)]
+                rows.append((doc_id, _majority(blocks), xxhash.xxh3_128_digest(x.tobytes()), len(x), alone, prefix.view(np.int64)))
             cols = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)]
             cols[1] = cols[1].view(pa.int64())
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "key", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "key", "size", "skipped", "prefix"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(1):
-            x = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *_hashes(text.as_py().encode(), shingle)]))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(_set(text.as_py().encode(), shingle).view(np.int64))], names=["shingle"])
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -269,6 +297,8 @@ def _partners(similarity: float, every: bool):
             a = {n: x[i : i + 256] for n, x in mine.items()}
             least = similarity / (1 + similarity) * (a["size"] + size) - 1e-6  # shingles they must share
             fit = (a["label"] != label) & (a["id"] != ids) & (np.minimum(a["size"] - a["pos"], size - pos) >= least)
+            if not fit.any():
+                continue
             if every:
                 x, y = np.nonzero(fit & (a["id"] > ids))
             else:
@@ -277,7 +307,8 @@ def _partners(similarity: float, every: bool):
                 x, y = np.tile(some, 2), np.concatenate([bits.argmin(1), fit[some].argmax(1)])
             qi.append(x + i)
             hi.append(order[y])
-        return np.concatenate(qi), np.concatenate(hi)
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *qi]), np.concatenate([none, *hi])
 
     return match
 
@@ -287,9 +318,19 @@ def _pairs(q_ids: np.ndarray, h_ids: np.ndarray, qi: np.ndarray, hi: np.ndarray,
     return b, a
 
 
+def _pairs_or_family(q_ids: np.ndarray, h_ids: np.ndarray, qi: np.ndarray, hi: np.ndarray, q: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Matches as pairs, the smaller id second, or where there are more than a few a row as a forest
+    of them, the smaller id first."""
+    if len(qi) <= DENSE * (len(q_ids) + len(h_ids)):
+        return _pairs(q_ids, h_ids, qi, hi, q, h)
+    ids, roots = forest(q_ids, h_ids, qi, hi)
+    some = ids != roots
+    return roots[some], ids[some]
+
+
 def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     """Similarity of the sets of shingles; texts without words are alike."""
-    x, y = (np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *_hashes(t, shingle)])) for t in (a, b))
+    x, y = (_set(t, shingle) for t in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -310,17 +351,71 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
     return materialize(both.mapInArrow(verified, "id long, root long").distinct())
 
 
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and shingles of sets that follow each other, each behind its size."""
+    words, starts, at = np.frombuffer(payload, dtype="<u8"), [], 0
+    while at < len(words):
+        starts.append(at)
+        at += int(words[at]) + 1
+    return words[starts].astype(np.int64), np.delete(words, starts)
+
+
+def _alike(similarity: float):
+    """Pairs of sets as similar as asked, from the counts of what all of them share."""
+
+    def match(q: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray]:
+        (m, x), (n, y) = _unpacked(q), _unpacked(h)
+        both = np.zeros((len(m), len(n)), dtype=np.float32)
+        known = np.intersect1d(x, y)
+        sides = []
+        for sizes, found in ((m, x), (n, y)):
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+            some = np.flatnonzero(known[at] == found) if len(known) else at[:0]
+            some = some[np.argsort(at[some], kind="stable")]
+            sides.append((row[some], at[some], len(sizes)))
+        for lo in range(0, len(known), _WIDE):
+            a, b = (np.zeros((k, _WIDE), dtype=np.float32) for _, _, k in sides)
+            for to, (row, at, _) in zip((a, b), sides):
+                i, j = np.searchsorted(at, [lo, lo + _WIDE])
+                to[row[i:j], at[i:j] - lo] = 1
+            both += a @ b.T
+        both = both.astype(np.float64)
+        return np.nonzero(both / np.maximum(m[:, None] + n - both, 1) >= similarity)
+
+    return match
+
+
+def _family_links(families: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``id, root`` edges that connect what is as similar as asked inside each family (``node,
+    component``). The pairs are counted where the texts meet and never written."""
+    texts = docs.join(families.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "doc_id", "text").dropDuplicates(["doc_id"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [_set(t.as_py().encode(), shingle) for t in batch.column(2)]
+            payload = [np.concatenate([np.array([len(x)], dtype="<u8"), x]).tobytes() for x in held]
+            n, one = len(held), np.ones(len(held), dtype=np.int64)
+            cols = [batch.column(0), pa.array(np.full(n, 2, dtype=np.int32)), batch.column(1), pa.array(one), pa.array(payload, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "role", "id", "w", "payload"])
+
+    rows = texts.mapInArrow(sets, "bucket long, role int, id long, w long, payload binary")
+    counts = families.groupBy(F.col("component").alias("bucket")).agg(F.count("*").alias("stored"), F.count("*").alias("probing"))
+    return bucket_join(rows, counts, _alike(similarity), tile=FAMILY, probes=FAMILY).filter("root is not null").select("id", "root")
+
+
 def similar_links(sig: DataFrame, docs: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``node, component`` of the groups that ``links`` (``id, root``) and all pairs of a Jaccard
     similarity of ``similarity`` or more connect.
 
     Of such a pair the prefixes share a shingle, so every pair is a candidate in some bucket. First
     each document's nearest and first candidate of a bucket are compared by their texts; then
-    all candidates which that has left in different groups."""
+    all candidates which that has left in different groups. Where a bucket has more than a few of
+    those a document, they are no rows: their documents are a family, which is compared in tiles."""
     first = sig.groupBy("key").agg(F.min("doc_id").alias("id"))
     copies = materialize(sig.select("doc_id", "key").join(first, "key").filter("doc_id != id").select(F.col("doc_id").alias("id"), F.col("id").alias("root"), "key"))
     own = drop_rows(sig.withColumnRenamed("doc_id", "id"), copies.select("id", "key"), ["id", "key"])
-    each = materialize(own.select("id", "fp", "size", F.posexplode("prefix").alias("pos", "bucket")))
+    each = materialize(own.select("id", "fp", "size", "skipped", F.posexplode("prefix").alias("pos", "bucket")).withColumn("pos", F.col("pos") + F.col("skipped")).drop("skipped"))
     crowd = materialize(each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     held = each.join(F.broadcast(crowd.select("bucket")) if few(crowd) else crowd.select("bucket"), "bucket")
     held = materialize(held)
@@ -332,7 +427,7 @@ def similar_links(sig: DataFrame, docs: DataFrame, links: DataFrame, shingle: in
         counts = rows.groupBy("bucket").agg(F.count("*").alias("stored"), F.count("*").alias("probing"))
         payload = F.concat(*(F.unhex(F.lpad(F.hex(F.col(n).cast("long")), 16, "0")) for n in _ROW.names))
         rows = rows.select("bucket", F.lit(2).alias("role"), "id", F.lit(1).cast("long").alias("w"), payload.alias("payload"))
-        found = bucket_join(rows, counts, _partners(similarity, every), probes=TILE, link=_pairs)
+        found = bucket_join(rows, counts, _partners(similarity, every), probes=TILE, link=_pairs_or_family if every else _pairs)
         return materialize(found.filter("root is not null").select("id", "root").distinct())
 
     pairs = candidates(held.withColumn("label", F.col("id")), False)
@@ -342,10 +437,14 @@ def similar_links(sig: DataFrame, docs: DataFrame, links: DataFrame, shingle: in
     rest = materialize(held.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
     discard(held)
     mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-    left = candidates(rest.join(mixed, "bucket", "left_semi"), True).join(pairs, ["id", "root"], "left_anti")
-    more = _verified(materialize(left), docs, shingle, similarity)
+    left = candidates(rest.join(mixed, "bucket", "left_semi"), True)
+    more = _verified(materialize(left.filter("id > root").join(pairs, ["id", "root"], "left_anti")), docs, shingle, similarity)
+    families = materialize(connected_components(left.filter("id < root"), "id", "root"))
+    if not families.isEmpty():
+        more = materialize(more.unionByName(_family_links(families, docs, shingle, similarity)))
     discard(rest)
     discard(pairs)
+    discard(left)
     if more.isEmpty():
         return groups
     return connected_components(links.unionByName(more), "id", "root")
@@ -357,13 +456,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     At 0.8 fingerprints are some 3 to 17 bits apart. No bound on distances prunes a tree of
     64 bits there, so those pairs come from shared shingles of the sets' prefixes, which lose none, and
-    are verified by their texts. Null texts count as empty, texts without words are
+    are verified by their texts. A bitmap of the shingles that several documents have tells which
+    sets can have a partner at all. Null texts count as empty, texts without words are
     alike, rows without an id have no group. Empty in, empty out.
     """
     rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
     common = common_shingles(rows, shingle)
-    fields = "doc_id long, fp long, key binary, size long, prefix array<long>"
-    sig = materialize(rows.mapInArrow(lambda it: _signatures(it, shingle, similarity, common), fields))
+    bitmap = rows.sparkSession.sparkContext.broadcast(shared_shingles(rows, shingle))
+    fields = "doc_id long, fp long, key binary, size long, skipped long, prefix array<long>"
+    sig = materialize(rows.mapInArrow(lambda it: _signatures(it, shingle, similarity, common, bitmap.value), fields))
     near = sig.select("doc_id", "fp").join(materialize(near_duplicates(sig.select("doc_id", "fp"), radius)), "fp")
     links = near.select(F.col("doc_id").alias("id"), F.col("component_id").alias("root")).filter("id != root")
     found = similar_links(sig, rows, materialize(links), shingle, similarity).withColumnRenamed("node", "doc_id")
