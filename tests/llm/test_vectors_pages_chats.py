@@ -1,14 +1,18 @@
 """Embeddings, pages and conversations against plain versions."""
 
 import random
+import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import embedding, html_text, preference
+from tideline.llm.common import shared_dir
 from tideline.llm.components import connected_components
 from tideline.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_documents import components
@@ -248,3 +252,45 @@ def test_oracles(spark, name):
     assert sorted(rel.columns) == cols
     want = Counter(tuple(str(dict(zip(rel.columns, r))[c]) for c in cols) for r in rel.fetchall())
     assert Counter(tuple(str(r[c]) for c in cols) for r in df.collect()) == want
+
+
+def test_pages_leave_only_their_spans_on_disk(spark):
+    folder = Path(re.sub("^file:/*", "/", shared_dir(spark))) / "tideline"
+    before = set(folder.glob("*"))
+    rows = [(i, f"http://a.example/{i}", f"<div>one two three four five six seven</div><article>own {i}</article>") for i in range(4)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    left = set(folder.glob("*")) - before
+    assert len(left) == 1 and [r.n_repeated for r in got.collect()] == [8] * 4
+
+
+def test_grams_of_streams():
+    long = "x" * 63 + "yé"
+    pages = ["<p>a b c d e f g</p><article>b c d e f g a</article>", "", None, "<article>a b c d e f</article>", f"<p>{long} b c d e f {long}z b c d e f</p>", "<p>abcdefgh abcdefghi a\0 a b c</p>"]
+    rows = [(f"http://{h}/{i}", page) for h in "gh" for i, page in enumerate(pages)]
+    (x,) = html_text._streams(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["url", "html"])]))
+    tokens = [x.text[a:b].decode() for a, b in zip(x.lo, x.hi)]
+    got = {}
+    for page, at, gram in zip(x.page.tolist(), x.at.tolist(), x.gram.tolist()):
+        got.setdefault(gram, set()).add((page >= len(pages), *tokens[at : at + 6]))
+    assert all(len(v) == 1 for v in got.values()) and len({v for x in got.values() for v in x}) == len(got)
+    want = []
+    for page, (_, text) in enumerate(rows):
+        own, outside, _ = html_text._page(None, text)
+        parts = [w for t, _ in outside for w in (*t.split(), "\n")], [w for t in own for w in (*t.split(), "\n")]
+        want += [(page, tuple(p[i : i + 6])) for p in parts for i in range(len(p) - 5)]
+    assert [(p, tuple(tokens[a : a + 6])) for p, a in zip(x.page.tolist(), x.at.tolist())] == want
+
+
+def test_packed_grams_and_merged_repeats():
+    rng = random.Random(8)
+    for n in (1, 2, 5000):
+        own = np.array(sorted(rng.randrange(1 << 28) for _ in range(n)), dtype=np.uint32)
+        assert (html_text._unpacked(html_text._packed(own)) == own).all()
+    found = [[(rng.randrange(60), rng.randint(6, 9)) for _ in range(rng.randint(1, 8))] for _ in range(300)]
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i % 256]) for i in range(300)]), pa.array([[{"s": s, "n": n} for s, n in x] for x in found], kind)], names=["piece", "found"])
+    (out,) = html_text._merged(iter([batch.slice(7)]))
+    for x, y in zip(found[7:], out.column(1).to_pylist(), strict=True):
+        covered = {p for s, n in x for p in range(s, s + n)}
+        assert {p for r in y for p in range(r["s"], r["s"] + r["n"])} == covered
+        assert len(y) == sum(p - 1 not in covered for p in covered)
