@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import exact_dedup, language, packing, pii, simhash
-from tideline.llm.common import discard, materialize
+from tideline.llm.common import discard, materialize, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,13 +34,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     shingles have a Jaccard similarity of 0.8 or more, or whose five-word fingerprints differ in
     two bits at most, and what such links connect. Rows without an id and rows repeated under
     a kept id stay. An empty table gives no rows."""
-    return simhash.drop_near_copies(docs.select(*COLUMNS), shingle=5, similarity=0.8).select(*COLUMNS)
+    with small_batches(spark):
+        return simhash.drop_near_copies(docs.select(*COLUMNS), shingle=5, similarity=0.8).select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span becomes its kind in brackets; ``n_chars`` follows the new text."""
     rows = docs.select(*COLUMNS, F.coalesce("text", F.lit("")).alias("_text"))
-    rows = pii.with_spans(rows.withColumn("_key", F.sha2("_text", 256)), "_key", "_text")
+    with small_batches(spark):
+        rows = pii.with_spans(rows.withColumn("_key", F.sha2("_text", 256)), "_key", "_text")
     some = F.size("spans") > 0
     rows = pii.mask(rows, "_text", "spans", "_masked").withColumn("text", F.when(some, F.col("_masked")).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

@@ -3,10 +3,12 @@
 from collections import defaultdict
 
 import corpus_pipeline as p
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.test_documents import SCHEMA, components, plain_jaccard, plain_shingles, plain_spans
 from tideline.llm import simhash
+from tideline.llm.common import SMALL, materialize
 
 
 def test_stages(spark):
@@ -46,3 +48,20 @@ def test_empty(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    def seen(docs, **_):
+        found.append(materialize(docs.select("text").mapInArrow(sizes, "n long")).agg(F.max("n")).first()[0])
+        return docs
+
+    found, before = [], {k: spark.conf.get(k) for k in SMALL}
+    monkeypatch.setattr(simhash, "drop_near_copies", seen)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('a', 40000) AS text", "'en' AS lang", "'s' AS source", "40000L AS n_chars")
+    p.drop_near_copies(spark, docs, "")
+    assert found[0] < 6e6  # 16 MB at once before
+    assert {k: spark.conf.get(k) for k in SMALL} == before

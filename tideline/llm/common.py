@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,37 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+# Batches of long texts: bytes that go to a Python worker at once, and rows that the reader holds.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside moves texts in batches of a few megabytes; afterwards the session's settings
+    are as before."""
+    before = {k: spark.conf.get(k, None) for k in SMALL}
+    try:
+        for k, v in SMALL.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def lean(fn: Callable) -> Callable:
+    """``fn`` of batches for a worker that returns free memory to the system after it, as idle
+    workers count towards their executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 BROADCAST_ROWS = 500_000  # rows of a few numbers each, some tens of megabytes
 
 

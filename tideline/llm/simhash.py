@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import several
 from tideline.llm.bucket_join import TILE, bucket_join, forest
-from tideline.llm.common import discard, drop_rows, few, id_and_text, materialize
+from tideline.llm.common import discard, drop_rows, few, id_and_text, lean, materialize
 from tideline.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -239,7 +239,7 @@ def shared_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """A bitmap of the shingles that several documents may have, of some 4 characters a bit, 64 MB at most."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     found = docs.mapInArrow(
-        lambda it: several.sketches(np.unique(_places(_set(t.as_py().encode(), shingle))) for batch in it for t in batch.column(1)),
+        lean(lambda it: several.sketches(np.unique(_places(_set(t.as_py().encode(), shingle))) for batch in it for t in batch.column(1))),
         "bucket int, hashes binary",
     )
     return several.bitmap(found, min(29, max(20, (chars // 4).bit_length())))
@@ -277,7 +277,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     sample lacks costs time and no pair."""
     every = max(1, -(-docs.count() // COMMON_SAMPLE))
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "text")
-    found = drawn.mapInArrow(lambda it: _shingles(it, shingle), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = drawn.mapInArrow(lean(lambda it: _shingles(it, shingle)), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     found = found.filter("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     rows = np.array([(r.shingle % 2**64, r.n) for r in found], dtype=[("shingle", "<u8"), ("n", "<i8")])
     return np.sort(rows, order="shingle")
@@ -348,7 +348,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
             good = [jaccard(x.as_py().encode(), y.as_py().encode(), shingle) >= similarity for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "root"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(both.mapInArrow(verified, "id long, root long").distinct())
+    return materialize(both.mapInArrow(lean(verified), "id long, root long").distinct())
 
 
 def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -399,7 +399,7 @@ def _family_links(families: DataFrame, docs: DataFrame, shingle: int, similarity
             cols = [batch.column(0), pa.array(np.full(n, 2, dtype=np.int32)), batch.column(1), pa.array(one), pa.array(payload, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["bucket", "role", "id", "w", "payload"])
 
-    rows = texts.mapInArrow(sets, "bucket long, role int, id long, w long, payload binary")
+    rows = texts.mapInArrow(lean(sets), "bucket long, role int, id long, w long, payload binary")
     counts = families.groupBy(F.col("component").alias("bucket")).agg(F.count("*").alias("stored"), F.count("*").alias("probing"))
     return bucket_join(rows, counts, _alike(similarity), tile=FAMILY, probes=FAMILY).filter("root is not null").select("id", "root")
 
@@ -464,7 +464,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = common_shingles(rows, shingle)
     bitmap = rows.sparkSession.sparkContext.broadcast(shared_shingles(rows, shingle))
     fields = "doc_id long, fp long, key binary, size long, skipped long, prefix array<long>"
-    sig = materialize(rows.mapInArrow(lambda it: _signatures(it, shingle, similarity, common, bitmap.value), fields))
+    sig = materialize(rows.mapInArrow(lean(lambda it: _signatures(it, shingle, similarity, common, bitmap.value)), fields))
+    bitmap.destroy()  # nothing reads it again
     near = sig.select("doc_id", "fp").join(materialize(near_duplicates(sig.select("doc_id", "fp"), radius)), "fp")
     links = near.select(F.col("doc_id").alias("id"), F.col("component_id").alias("root")).filter("id != root")
     found = similar_links(sig, rows, materialize(links), shingle, similarity).withColumnRenamed("node", "doc_id")
